@@ -1,6 +1,6 @@
 """Registered queries, one per operator, with the SQL that checks them."""
 
 from ticketloom.checks.registry import ORACLES, QUERIES
-from ticketloom.checks import text_queries, rule_queries  # noqa: F401
+from ticketloom.checks import profile_queries, rule_queries, text_queries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

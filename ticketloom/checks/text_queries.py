@@ -23,7 +23,7 @@ def _joined(arr):
 
 _CSV_SQL = s.with_tickets(
     "select ticket_id, regexp_replace(resumen, '[^\\x{00}-\\x{ff}]', '?', 'g') as resumen,"
-    " regexp_replace(notas, '[^\\x{00}-\\x{ff}]', '?', 'g') as notas, tipo_ticket, causa_raiz"
+    " nullif(regexp_replace(notas, '[^\\x{00}-\\x{ff}]', '?', 'g'), '') as notas, tipo_ticket, causa_raiz"
     " from tickets"
 )
 

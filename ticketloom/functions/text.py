@@ -212,8 +212,9 @@ def technical_keywords(
 # -- formatting -------------------------------------------------------------
 
 def title_case(c: Column | str) -> Column:
-    """First letter of each word upper-case, the rest lower-case."""
-    return F.initcap(_col(c))
+    """First letter of each run of letters upper-case, the rest lower-case."""
+    runs = F.regexp_extract_all(_col(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
 def slug_key(name: Column | str) -> Column:
