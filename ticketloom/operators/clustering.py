@@ -181,14 +181,13 @@ def assign_nearest(
         return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
     ranked = F.transform(
-        rows.scalar(), lambda c: F.struct(distance(c["mean"]).alias("d"), c["label"].alias("l"))
+        "_c", lambda c: F.struct(distance(c["mean"]).alias("d"), c["label"].alias("l"))
     )
-    best = F.array_min(ranked)
     return (
-        df.withColumn("_v", F.col(vector).cast("array<double>"))
-        .withColumn("_best", best)
+        df.withColumns({"_v": F.col(vector).cast("array<double>"), "_c": rows.scalar()})
+        .withColumn("_best", F.array_min(ranked))
         .withColumns({out: F.col("_best.l"), "distance": F.sqrt("_best.d")})
-        .drop("_v", "_best")
+        .drop("_v", "_c", "_best")
     )
 
 
@@ -205,13 +204,15 @@ def silhouette_rows(df: DataFrame, label: str = "label", vector: str = "embeddin
     table = squares.join(_per_label(centroids(df, label, vector)), "label")
     rows = table.agg(F.array_sort(F.collect_list(F.struct("label", "n", "sq", "mean"))).alias("c"))
     spread = F.transform(
-        rows.scalar(),
+        "_c",
         lambda c: F.struct(
             c["label"].alias("label"), c["n"].alias("n"),
             (F.col("_x2") + c["sq"] - 2 * _dot(F.col("_v"), c["mean"])).alias("d"),
         ),
     )
-    d = v.withColumn("_x2", _dot(F.col("_v"), F.col("_v"))).withColumn("_d", spread)
+    d = v.withColumns({"_x2": _dot(F.col("_v"), F.col("_v")), "_c": rows.scalar()}).withColumn(
+        "_d", spread
+    )
     own = F.filter("_d", lambda c: c["label"] == F.col(label))[0]
     other = F.array_min(
         F.transform(F.filter("_d", lambda c: c["label"] != F.col(label)), lambda c: c["d"])
@@ -222,4 +223,4 @@ def silhouette_rows(df: DataFrame, label: str = "label", vector: str = "embeddin
     s = F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(
         (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")
     )
-    return ab.withColumn("silhouette", s).drop("_v", "_x2", "_d", "_n", "_a", "_b")
+    return ab.withColumn("silhouette", s).drop("_v", "_x2", "_c", "_d", "_n", "_a", "_b")

@@ -31,11 +31,12 @@ def category_similarity(categories: DataFrame) -> DataFrame:
     the list of later ones as a bounded array, so no join is needed.
     """
     fields = F.struct("cluster", "top_words", "top_causes", "has_technical_terms", "urgency_indicators")
-    every = categories.limit(MOST_CATEGORIES + 1).agg(F.collect_list(fields).alias("all")).scalar()
-    guarded = F.when(F.size(every) > MOST_CATEGORIES, F.raise_error(F.lit("too many categories"))
-                     .cast(_array_type(categories))).otherwise(every)
-    later = F.filter(guarded, lambda o: o["cluster"] > F.col("cluster"))
-    pairs = categories.withColumn("o", F.explode(later))
+    every = categories.agg(F.array_sort(F.collect_list(fields)).alias("all"))
+    later = F.filter("_all", lambda o: o["cluster"] > F.col("cluster"))
+    pairs = (
+        bounded_categories(categories).withColumn("_all", every.scalar())
+        .withColumn("o", F.explode(later)).drop("_all")
+    )
     features = (
         (F.col("has_technical_terms") == F.col("o.has_technical_terms")).cast("double") * 0.5
         + (F.abs(F.col("urgency_indicators") - F.col("o.urgency_indicators")) <= 1).cast("double") * 0.5
@@ -50,13 +51,12 @@ def category_similarity(categories: DataFrame) -> DataFrame:
     )
 
 
-def _array_type(categories: DataFrame) -> str:
-    types = dict(categories.dtypes)
-    inner = ",".join(
-        f"{n}:{types[n]}" for n in
-        ("cluster", "top_words", "top_causes", "has_technical_terms", "urgency_indicators")
-    )
-    return f"array<struct<{inner}>>"
+def bounded_categories(categories: DataFrame, most: int = MOST_CATEGORIES) -> DataFrame:
+    """The table itself; error when it has more rows than a merge may handle."""
+    seen = categories.select("cluster").limit(most + 1).count()
+    if seen > most:
+        raise ValueError(f"more than {most} categories")
+    return categories
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def merge_categories(
     Returns the map (old, new) and the merged summaries.  Of equal pairs the first in
     order of the clusters is taken.
     """
-    rows = categories.select(*FIELDS).orderBy("cluster").limit(MOST_CATEGORIES + 1).collect()
+    rows = categories.select(*FIELDS).limit(MOST_CATEGORIES + 1).collect()
     if len(rows) > MOST_CATEGORIES:
         raise ValueError(f"more than {MOST_CATEGORIES} categories")
     now = {
