@@ -8,19 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketloom import lexicons as lx
-from ticketloom.functions.text import WORD, _col
+from ticketloom.functions.text import _col, whole_words
 
 ENTITY_TYPES = tuple(n for n, _ in lx.ENTITY_PATTERNS) + tuple(n for n, _ in lx.ENTITY_TERMS)
 
 
-def _terms_pattern(terms: Sequence[str]) -> str:
-    return rf"(?<![{WORD}])(?:{'|'.join(terms)})(?![{WORD}])"
-
-
 def entity_pattern(name: str) -> str:
     """Regular expression of one entity type."""
     patterns = dict(lx.ENTITY_PATTERNS)
-    return patterns[name] if name in patterns else _terms_pattern(dict(lx.ENTITY_TERMS)[name])
+    return patterns[name] if name in patterns else whole_words(dict(lx.ENTITY_TERMS)[name])
 
 
 def extract_entity(c: Column | str, name: str) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from ticketloom.functions.text import WORD, _col, literals
+from ticketloom.functions.text import WORD, _col, bound, literals
 
 
 def _quote(ch: str) -> str:
@@ -85,5 +85,9 @@ def phrases_in(text: Column | str, phrases: Sequence[str], match: str = "substri
         return longest
     lookup = F.create_map(*[x for w, short in nested.items() for x in (F.lit(w), literals(short))])
     none = F.array().cast("array<string>")
-    implied = F.flatten(F.transform(longest, lambda x: F.coalesce(lookup[x], none)))
-    return F.array_union(longest, implied)
+    return bound(
+        longest,
+        lambda found: F.array_union(
+            found, F.flatten(F.transform(found, lambda x: F.coalesce(lookup[x], none)))
+        ),
+    )

@@ -60,20 +60,20 @@ def preprocess(
 ) -> Column:
     """Lower, strip punctuation, squash, drop phrases, apply synonyms, squash.
 
-    The inner squash does not trim: a phrase such as ``' favor'`` must still see
-    the space at the ends.
+    Punctuation and space are one class here: a run of either becomes one space, which
+    equals stripping and then squashing but reads the text once.
     """
     lowered = F.lower(F.coalesce(_col(c), F.lit("")))
-    spaced = F.regexp_replace(strip_punct(lowered), rf"[{SPACE}]+", " ")
+    spaced = F.regexp_replace(lowered, rf"[^{WORD}]+", " ")
     return squash(normalize_synonyms(remove_phrases(spaced, phrases), pairs))
 
 
 def clean_es(c: Column | str) -> Column:
     """Keep Spanish lower-case letters, digits, space, ``-`` and ``_``."""
-    kept = F.regexp_replace(
-        F.lower(F.coalesce(_col(c), F.lit(""))), r"[^a-záéíóúñü0-9\s\-_]", " "
+    # Other signs and space alike end as one space, so one pass is enough.
+    return F.trim(
+        F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^a-záéíóúñü0-9\-_]+", " ")
     )
-    return squash(kept)
 
 
 # -- combining --------------------------------------------------------------
@@ -170,6 +170,16 @@ def ngrams_1_2(tokens: Column | str) -> Column:
     return F.concat(t, pairs)
 
 
+def rows_of(array: str) -> Column:
+    """``explode`` of a column, without re-evaluation.
+
+    A plain ``explode(column)`` makes Spark add a filter on the size of the array, and
+    that filter is pushed below the projection that computes it, so costly text work
+    is done again.  A conditional expression is left alone.
+    """
+    return F.explode(F.when(F.size(array) > 0, F.col(array)))
+
+
 # -- searching --------------------------------------------------------------
 
 def contains_any(c: Column | str, words: Sequence[str]) -> Column:
@@ -190,14 +200,23 @@ def count_subs(c: Column | str, words: Sequence[str]) -> Column:
     return reduce(lambda acc, w: acc + count_sub(c, w), words[1:], count_sub(c, words[0]))
 
 
+def whole_words(words: Sequence[str]) -> str:
+    """Pattern of whole words (or phrases), longest first.
+
+    The first letters are tested before anything else, as most positions fail there.
+    """
+    longest = sorted(set(words), key=lambda w: (-len(w), w))
+    firsts = "".join(sorted({w[0] for w in longest}))
+    return rf"(?=[{firsts}])(?<![{WORD}])(?:{'|'.join(longest)})(?![{WORD}])"
+
+
 def technical_keywords(
     c: Column | str, classes: Sequence[tuple[str, Sequence[str]]] = lx.TECHNICAL_CLASSES
 ) -> Column:
     """``class_word`` for each whole technical word: class order, then text order."""
-    every = sorted({w for _, words in classes for w in words}, key=len, reverse=True)
-    whole = rf"(?<![{WORD}])(?:{'|'.join(every)})(?![{WORD}])"
+    every = [w for _, words in classes for w in words]
     found = F.regexp_extract_all(
-        F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(whole), F.lit(0)
+        F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(whole_words(every)), F.lit(0)
     )
 
     def named(f: Column, name: str, words: Sequence[str]) -> Column:

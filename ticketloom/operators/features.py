@@ -12,7 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ticketloom.functions.text import ngrams_1_2, word_tokens
+from ticketloom.functions.text import bound, ngrams_1_2, rows_of, word_tokens
 
 
 def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
@@ -23,13 +23,17 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
 
 def _first_flags(terms: Column) -> Column:
     """Each term with 1 at its first place in the document and 0 at repeats."""
-    s = F.sort_array(terms)
-    before = F.concat(F.array(F.lit(None).cast("string")), s)
-    marked = F.zip_with(
-        s, before, lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).cast("int").alias("first"))
-    )
-    # ``before`` is one longer; its last pair has no term.
-    return F.filter(marked, lambda x: x["term"].isNotNull())
+
+    def marked(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), s)
+        pairs = F.zip_with(
+            s, before,
+            lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).cast("int").alias("first")),
+        )
+        # ``before`` is one longer; its last pair has no term.
+        return F.filter(pairs, lambda x: x["term"].isNotNull())
+
+    return bound(F.sort_array(terms), marked)
 
 
 def term_stats(df: DataFrame, terms: str = "terms") -> DataFrame:
@@ -75,7 +79,7 @@ def term_counts(df: DataFrame, vocabulary: DataFrame, doc: str, terms: str = "te
     terms are dropped before the only shuffle, which is by document: the weights and
     norms of ``tf_idf`` reuse it.
     """
-    flat = df.select(doc, F.explode(terms).alias("term"))
+    flat = df.select(doc, rows_of(terms).alias("term"))
     known = flat.join(F.broadcast(vocabulary), "term").repartition(doc)
     return known.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
 

@@ -187,8 +187,18 @@ def tickets_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread the rows of a table that has fewer files than there are cores.
+
+    Text work is bound by the processor, and a table of one file is read by one task.
+    A table with many files is left as it is: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def load_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets of a test data folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tickets_from_documents(docs)
+    return tickets_from_documents(spread_small(docs))
 

@@ -48,11 +48,14 @@ def windowed_accuracy(
     Weeks start on Monday, as in the batch form.
     """
     same = (F.col(label) == F.col(prediction)).cast("double")
+    zone = F.current_timezone()
+    # Windows are cut in UTC: move the wall-clock time there and back.
+    timed = labelled.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
     return (
-        labelled.withWatermark(ts, late)
-        .groupBy(F.window(ts, width, startTime="4 days").alias("w"))
+        timed.withWatermark("_ts", late)
+        .groupBy(F.window("_ts", width, startTime="4 days").alias("w"))
         .agg(F.count("*").alias("n"), F.avg(same).alias("accuracy"))
-        .select(F.col("w.start").cast("date").alias("week"), "n", "accuracy")
+        .select(F.to_utc_timestamp("w.start", zone).cast("date").alias("week"), "n", "accuracy")
     )
 
 
