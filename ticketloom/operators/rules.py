@@ -205,26 +205,36 @@ def few_rules(rules_df: DataFrame, limit: int = FEW_RULES) -> list[tuple[str, li
     return [(c, [k for _, k in sorted(kws)]) for (_, c), kws in sorted(out.items())]
 
 
-def _beginnings(text: Column) -> Column:
-    """Distinct substrings of one, two and three characters."""
-    threes = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{1,3}))"), F.lit(1)))
-    shorter = [F.transform(threes, lambda g: F.substring(g, 1, n)) for n in (1, 2)]
-    return F.array_distinct(F.concat(threes, *shorter))
+def _begin_width(keyword: Column) -> Column:
+    """Characters of a phrase that tickets are joined on: six, three, or all it has."""
+    n = F.length(keyword)
+    return F.when(n >= 6, 6).when(n >= 3, 3).otherwise(n)
+
+
+def _beginnings(text: Column, widths: Sequence[int]) -> Column:
+    """Distinct substrings of the given widths."""
+    parts = [
+        F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)))
+        for w in widths
+    ]
+    return F.concat(*parts)
 
 
 def match_many_rules(df: DataFrame, key: str, text: str, rules_df: DataFrame) -> DataFrame:
     """Pairs of ticket and phrase, for rule tables of any size.
 
-    A phrase can only occur where its first three characters do (all of them, when it
-    is shorter).  Tickets and phrases meet on those characters by an equality join, so
-    no ticket is compared with every phrase; candidates then meet the ticket text
-    once more to check the whole phrase.  AQE splits a frequent beginning.
+    A phrase can only occur where its first characters do.  Tickets and phrases meet
+    on those characters by an equality join, so no ticket is compared with every
+    phrase; the few candidates then meet the ticket text once more to check the whole
+    phrase.  AQE splits a frequent beginning.
     """
-    phrases = rules_df.withColumn("keyword", F.lower("keyword")).withColumn(
-        "_begin", F.substring("keyword", 1, 3)
-    )
-    begins = df.select(key, F.explode(_beginnings(F.col(text))).alias("_begin"))
-    candidates = begins.join(phrases, "_begin").drop("_begin")
+    phrases = rules_df.withColumn("keyword", F.lower("keyword")).where("keyword <> ''")
+    phrases = phrases.withColumn("_width", _begin_width(F.col("keyword")))
+    phrases = phrases.withColumn("_begin", F.expr("left(keyword, _width)"))
+    # At most four widths: 1, 2, 3 and 6.
+    widths = sorted(r[0] for r in phrases.select("_width").distinct().collect())
+    begins = df.select(key, F.explode(_beginnings(F.col(text), widths)).alias("_begin"))
+    candidates = begins.join(phrases.drop("_width"), "_begin").drop("_begin")
     checked = candidates.join(df.select(key, text), key).where(
         F.col(text).contains(F.col("keyword"))
     )
