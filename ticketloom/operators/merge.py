@@ -131,9 +131,11 @@ def merge_categories(
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Replace old clusters by new ones; the map has one row per cluster."""
-    small = F.broadcast(mapping.limit(MOST_CATEGORIES))
-    out = df.join(small, F.col(cluster) == F.col("old"), "left")
+    """Replace old clusters by new ones.
+
+    The map has one row per cluster and is a local table, so Spark broadcasts it.
+    """
+    out = df.join(mapping, F.col(cluster) == F.col("old"), "left")
     return out.withColumn(cluster, F.coalesce("new", cluster)).drop("old", "new")
 
 
@@ -146,7 +148,7 @@ def merge_profile(parts: DataFrame, mapping: DataFrame, dims: bool = False) -> D
     """
     from ticketloom.operators.ranking import ranked_list, top_n
 
-    j = parts.join(F.broadcast(mapping.limit(MOST_CATEGORIES)), F.col("cluster") == F.col("old"))
+    j = parts.join(mapping, F.col("cluster") == F.col("old"))
 
     def merged_list(col: str, n: int) -> DataFrame:
         seen = j.select("new", "cluster", F.posexplode(col).alias("pos", "value"))

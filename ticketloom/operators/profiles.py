@@ -61,19 +61,18 @@ def top_values(df: DataFrame, col: str, n: int) -> DataFrame:
 def examples(df: DataFrame, n: int = 3, cut: int = 150) -> DataFrame:
     """First n tickets per cluster by id, with cut summary.
 
-    The ids are ranked alone; texts are fetched only for the tickets chosen.
+    Columns are cut before ranking, so the rows sorted are short; each task passes on
+    n rows per cluster.
     """
-    ids = top_n(df.select(C, F.col("ticket_id")), [C], [F.asc("ticket_id")], n)
-    rows = df.join(ids, [C, "ticket_id"])
-    return rows.select(
+    rows = df.select(
         C,
-        "rank",
         F.col("ticket_id").alias("id"),
         ellipsize("resumen", cut).alias("resumen"),
         default_text("tipo_ticket", "").alias("tipo_ticket"),
         default_text("causa_raiz", "").alias("causa_raiz"),
         default_text("prioridad", "No especificada").alias("prioridad"),
     )
+    return top_n(rows, [C], [F.asc("id")], n)
 
 
 # -- signals -------------------------------------------------------------------

@@ -6,16 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom import lexicons as lx
-from ticketloom.functions.entities import extract_entities
 from ticketloom.functions.phrases import phrases_in
-from ticketloom.functions.text import (
-    combined_text,
-    default_text,
-    ellipsize,
-    literals,
-    preprocess,
-    rule_text,
-)
+from ticketloom.functions.text import default_text, ellipsize, literals, rule_text
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 Info = Sequence[tuple[str, str, str, str]]
@@ -333,16 +325,3 @@ def name_results(classified: DataFrame, categories: DataFrame) -> DataFrame:
         ).alias("palabras_clave"),
     )
 
-
-def model_text(df: DataFrame) -> DataFrame:
-    """Columns the model path needs: combined text, clean text, entities."""
-    return df.withColumns(
-        {
-            "combined_text": combined_text("resumen", "notas", "tipo_ticket"),
-        }
-    ).withColumns(
-        {
-            "clean_text": preprocess("combined_text"),
-            "entities": extract_entities("combined_text"),
-        }
-    )
