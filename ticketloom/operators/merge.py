@@ -13,6 +13,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ticketloom.operators.ranking import broadcast_if_small, ranked_list, top_n
+
 MOST_CATEGORIES = 50
 FIELDS = ("cluster", "top_words", "top_causes", "num_incidencias", "avg_text_length",
           "has_technical_terms", "urgency_indicators")
@@ -133,9 +135,11 @@ def merge_categories(
 def apply_mapping(df: DataFrame, mapping: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Replace old clusters by new ones.
 
-    The map has one row per cluster and is a local table, so Spark broadcasts it.
+    A map of up to fifty rows, as a merge gives, is broadcast: the tickets stay where
+    they are.
     """
-    out = df.join(mapping, F.col(cluster) == F.col("old"), "left")
+    small = broadcast_if_small(mapping, MOST_CATEGORIES)
+    out = df.join(small, F.col(cluster) == F.col("old"), "left")
     return out.withColumn(cluster, F.coalesce("new", cluster)).drop("old", "new")
 
 
@@ -146,8 +150,6 @@ def merge_profile(parts: DataFrame, mapping: DataFrame, dims: bool = False) -> D
     urgency summed, flags combined, length averaged without weights.  With ``dims`` the
     ``center`` arrays are averaged as well.
     """
-    from ticketloom.operators.ranking import ranked_list, top_n
-
     j = parts.join(mapping, F.col("cluster") == F.col("old"))
 
     def merged_list(col: str, n: int) -> DataFrame:

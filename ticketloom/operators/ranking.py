@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast hint when a table has at most ``most`` rows, else the table as it is.
+
+    Reading stops after ``most`` + 1 rows.
+    """
+    rows = df.select(F.lit(1)).limit(most + 1).count()
+    return F.broadcast(df) if rows <= most else df
+
+
 def top_n(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:

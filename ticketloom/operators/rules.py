@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ticketloom import lexicons as lx
 from ticketloom.functions.phrases import phrases_in
 from ticketloom.functions.text import default_text, ellipsize, literals, rule_text
+from ticketloom.operators.ranking import broadcast_if_small
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 Info = Sequence[tuple[str, str, str, str]]
 
 AUTOMATIC = "clasificación automática"
 FEW_RULES = 2000
+BROADCAST_RULES = 100_000
+BROADCAST_ROUTES = 10_000
 ENTITY_MAP = "map<string,array<string>>"
 
 
@@ -226,7 +229,8 @@ def match_many_rules(df: DataFrame, key: str, text: str, rules_df: DataFrame) ->
     # At most four widths: 1, 2, 3 and 6.
     widths = sorted(r[0] for r in phrases.select("_width").distinct().collect())
     begins = df.select(key, F.explode(_beginnings(F.col(text), widths)).alias("_begin"))
-    candidates = begins.join(phrases.drop("_width"), "_begin").drop("_begin")
+    small = broadcast_if_small(phrases.drop("_width"), BROADCAST_RULES)
+    candidates = begins.join(small, "_begin").drop("_begin")
     checked = candidates.join(df.select(key, text), key).where(
         F.col(text).contains(F.col("keyword"))
     )
@@ -282,10 +286,9 @@ def triage(classified: DataFrame, routing_df: DataFrame) -> DataFrame:
     ``routing_df``: category, grupo, at most one row per category.  The join is left,
     so a ticket without a route keeps its record under ``Sin asignar``.
     """
+    routes = routing_df.select(F.col("category").alias("predicted_type"), "grupo")
     routed = classified.join(
-        routing_df.select(F.col("category").alias("predicted_type"), "grupo"),
-        "predicted_type",
-        "left",
+        broadcast_if_small(routes, BROADCAST_ROUTES), "predicted_type", "left"
     )
     return routed.select(
         "ticket_id",
