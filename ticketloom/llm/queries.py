@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import decontaminate, near_dedup, packing, pii, quality, sharding, token_files, toxicity, warc
+from ticketloom.llm import decontaminate, near_dedup, packing, pii, quality, sharding, suffix_dedup, token_files, toxicity, warc
 from ticketloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
