@@ -179,8 +179,10 @@ def captures(recs: DataFrame) -> DataFrame:
     tied = res.join(req, res["record_id"] == req["concurrent_to"], "left").drop("concurrent_to").join(
         meta, res["record_id"] == meta["concurrent_to"], "left").drop("concurrent_to")
     chiefs = meta.select(F.col("concurrent_to").alias("chief"), F.col("metadata.page_id").alias("refers_to"))
-    return tied.join(chiefs, F.col("response.refers_to") == F.col("chief"), "left").select(
-        "metadata.page_id", "request", "response", "metadata", "refers_to")
+    # a response stands for itself, so that no null key gathers all responses in one task
+    return tied.join(chiefs, F.coalesce("response.refers_to", "response.record_id") == F.col("chief"), "left").select(
+        "metadata.page_id", "request", "response", "metadata",
+        F.when(F.col("response.refers_to").isNotNull(), F.col("refers_to")).alias("refers_to"))
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:
