@@ -54,7 +54,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose key is not in the one column of a written table; null equals null."""
+    name = "gone"
+    while name in df.columns:
+        name += "_"
+    return df.join(small_side(gone.toDF(name)), df[key].eqNullSafe(F.col(name)), "left_anti")
+
+
 __all__ = [
     "BROADCAST_ROWS", "SPACE", "SPACE_CHARS", "let", "materialize", "pinned", "remove",
-    "scratch_path", "small_side", "table", "words", "written",
+    "scratch_path", "small_side", "table", "without", "words", "written",
 ]

@@ -22,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketloom.llm.common import pinned, scratch_path, small_side, written
+from ticketloom.llm.common import pinned, scratch_path, small_side, without, written
 
 WINDOW = 8
 LEAST_WINDOW = 5
@@ -134,5 +134,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, columns as given."""
     spark = docs.sparkSession
-    gone = written(leaks(docs, benchmark).select(F.col("doc_id").alias("gone")).distinct(), scratch_path(spark, "leaks"))
-    return docs.join(small_side(gone), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    gone = written(leaks(docs, benchmark).select("doc_id").distinct(), scratch_path(spark, "leaks"))
+    return without(docs, "doc_id", gone)

@@ -6,13 +6,13 @@ picks, by a hash of its path, one or two minwise functions of its level, and a r
 goes to the child of its minwise token under each. Records of similarity s stay together
 with probability s at each step; with 1.25 children a node, a pair at 0.8 meets at a
 given leaf level once per tree on average. Nodes of few records are compared
-exhaustively by sketches; larger ones branch again. In a larger node every record is
-also compared with the node's pivot, and after the last level the rest is dealt into
-small blocks, so groups of thousands of near copies are tied together without all their
+exhaustively by sketches; larger ones branch again. A node that is still large after the
+last level is dealt into small blocks, and every record of it is compared with the
+node's pivot, so groups of thousands of near copies are tied together without all their
 pairs. ``TREES`` trees find a pair at the threshold with probability above 0.998.
 
-Candidate pairs are confirmed on the full sets: first the best partner of each record,
-then every pair that still joins two components. Pairs inside a component cannot change
+Candidate pairs are confirmed on the full sets: first the best partner and the likely
+partner of smallest id of each record, then every pair that still joins two components. Pairs inside a component cannot change
 it and are not read.
 
 No text, or text without words: the empty set, linked with nothing. A null doc_id gets a
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ticketloom.llm.common import scratch_path, small_side, written
+from ticketloom.llm.common import scratch_path, small_side, without, written
 from ticketloom.llm.graph import components
 
 TREES = 12
@@ -44,6 +44,8 @@ SKETCH = 64
 SKETCH_MARGIN = 0.22
 #: Share of equal bytes from which a leaf keeps one link per record only.
 SURE = 0.92
+#: Share of equal bytes from which the partner of smallest id is confirmed first, too.
+LIKELY = 0.84
 SEED = 11
 _CACHE_WORDS = 400_000
 
@@ -260,14 +262,13 @@ def candidates(records: DataFrame, similarity: float) -> DataFrame:
         small = held.where(F.col("size") <= SMALL_NODE).select("path", "id", "n", "sketch")
         large = held.where(F.col("size") > SMALL_NODE)
         some = large.limit(1).count()
-        if some:
+        if some and level == LEVELS:
+            blocks = F.ceil(F.col("size") * 2 / SMALL_NODE)
+            small = small.union(large.select(
+                F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("path"), "id", "n", "sketch"))
             chief = large.where(draw == F.col("pivot")).select("path", F.col("id").alias("chief"), F.col("sketch").alias("mark"))
             star = large.join(chief, "path").where("id <> chief").select("id", "chief", "sketch", "mark")
             pairs.append(star.mapInArrow(_pivots(similarity), _PAIR))
-            if level == LEVELS:
-                blocks = F.ceil(F.col("size") * 2 / SMALL_NODE)
-                small = small.union(large.select(
-                    F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("path"), "id", "n", "sketch"))
         pairs.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaves(similarity), _PAIR))
         if not some or level == LEVELS:
             break
@@ -324,7 +325,10 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         return written(both.mapInArrow(_confirmed(similarity), "a bigint, b bigint"), scratch_path(spark, "links"))
 
-    best = sides.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    likely = F.when(F.col("p.equal") >= int(SKETCH * LIKELY), F.struct(
+        F.when(F.col("p.a") == F.col("id"), F.col("p.b")).otherwise(F.col("p.a")).alias("other"), "p.a", "p.b"))
+    picks = sides.groupBy("id").agg(F.max("p").alias("p"), F.min(likely).alias("q"))
+    best = picks.select("p.a", "p.b").union(picks.where("q is not null").select("q.a", "q.b")).distinct()
     links = confirm(best)
     label = components(links)
     low, high = (label.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
@@ -340,6 +344,6 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each class of near duplicates, columns as given."""
     spark = docs.sparkSession
-    gone = written(classes(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("gone")).distinct(),
+    gone = written(classes(docs, shingle, similarity).where("not kept").select("doc_id").distinct(),
                    scratch_path(spark, "duplicates"))
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    return without(docs, "doc_id", gone)
