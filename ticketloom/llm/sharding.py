@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ticketloom.llm.common import let, scratch_path
 
@@ -80,19 +81,20 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
         "record.doc", "shard", "bucket", (F.col("first") + F.col("i")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, **limits) -> None:
-    """Write the shuffled records as Parquet, one folder for each shard, in slot order."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, **limits) -> StructType:
+    """Write the shuffled records as Parquet, one folder for each shard, in slot order; their schema."""
     out = shuffled(docs, shards, seed, **limits)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return out.schema
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Write the shards, read them back, and describe each record and its place."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
-    write_shards(docs, path, shards, seed)
+    schema = write_shards(docs, path, shards, seed)
     text = F.coalesce("doc.text", F.lit(""))
-    return spark.read.parquet(path).select(
+    return spark.read.schema(schema).parquet(path).select(
         "doc.doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
         F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"),
