@@ -1,9 +1,43 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.operators.merge import bounded_categories
+from ticketloom.operators.merge import bounded_list, category_similarity, merge_categories, merge_profile
+from ticketloom.sources import sinks
 
 
-def test_tables_too_large_are_refused(spark):
+def inputs(spark, n):
+    return spark.range(n).select(
+        F.col("id").cast("int").alias("cluster"),
+        F.array(F.concat(F.lit("w"), (F.col("id") % 7).cast("string")), F.lit("x")).alias("top_words"),
+        F.array(F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))).alias("top_causes"),
+        (F.col("id") + 1).alias("num_incidencias"), F.lit(10.0).alias("avg_text_length"),
+        (F.col("id") % 2 == 0).alias("has_technical_terms"), (F.col("id") % 3).alias("urgency_indicators"))
+
+
+def test_more_than_fifty_categories(spark):
+    cats = inputs(spark, 60)
+    assert category_similarity(cats).count() == 60 * 59 // 2
+    mapping, merged = merge_categories(cats, 20)
+    assert mapping.count() == 60 and merged.count() >= 20
+    assert merged.agg(F.sum("num_incidencias")).first()[0] == 60 * 61 // 2
+
+
+def test_guard_is_part_of_the_plan(spark):
+    df = spark.range(51).agg(bounded_list(F.col("id"), 50).alias("x"))
+    with pytest.raises(Exception, match="51 categories"):
+        df.collect()
     with pytest.raises(ValueError):
-        bounded_categories(spark.range(51).select(F.col("id").alias("cluster")))
+        merge_categories(inputs(spark, 60), most=50)
+
+
+def test_clusters_outside_the_map_stay(spark):
+    mapping = spark.createDataFrame([(0, 0), (1, 0)], "old int, new int")
+    out = {r.cluster: r.num_incidencias for r in merge_profile(inputs(spark, 3), mapping).collect()}
+    assert out == {0: 3, 2: 3}
+
+
+def test_keys_are_unique(spark):
+    rows = [(7, "a"), (8, "a"), (9, "a_7"), (1, "b"), (2, "b_2_2"), (3, "b_2")]
+    df = spark.createDataFrame(rows, "cluster int, clave string").withColumn("k", sinks._unique_key())
+    keys = {r.cluster: r.k for r in df.collect()}
+    assert len(set(keys.values())) == 6 and keys[1] == "b" and keys[7] == "a_7"

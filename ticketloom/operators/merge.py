@@ -1,4 +1,4 @@
-"""Merge of similar categories, on a table of at most fifty rows.
+"""Merge of similar categories, on a table of category summaries.
 
 The merge is sequential by nature: each round changes the table the next one looks at.
 It runs over category summaries (words, causes, flags), never over tickets; its result
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketloom.operators.ranking import broadcast_if_small, ranked_list, top_n
 
-MOST_CATEGORIES = 50
+# What one row, and the driver, may hold; a guard with an error, not a cut.
+MOST_CATEGORIES = 5000
 FIELDS = ("cluster", "top_words", "top_causes", "num_incidencias", "avg_text_length",
           "has_technical_terms", "urgency_indicators")
 
@@ -25,7 +26,7 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def category_similarity(categories: DataFrame) -> DataFrame:
+def category_similarity(categories: DataFrame, most: int = MOST_CATEGORIES) -> DataFrame:
     """Similarity of each pair of categories: (a, b, similarity), a < b.
 
     0.4 words and 0.4 causes (Jaccard), 0.2 features: half for the same technical
@@ -33,10 +34,10 @@ def category_similarity(categories: DataFrame) -> DataFrame:
     the list of later ones as a bounded array, so no join is needed.
     """
     fields = F.struct("cluster", "top_words", "top_causes", "has_technical_terms", "urgency_indicators")
-    every = categories.agg(F.array_sort(F.collect_list(fields)).alias("all"))
+    every = categories.agg(bounded_list(fields, most).alias("all"))
     later = F.filter("_all", lambda o: o["cluster"] > F.col("cluster"))
     pairs = (
-        bounded_categories(categories).withColumn("_all", every.scalar())
+        categories.withColumn("_all", every.scalar())
         .withColumn("o", F.explode(later)).drop("_all")
     )
     features = (
@@ -53,12 +54,14 @@ def category_similarity(categories: DataFrame) -> DataFrame:
     )
 
 
-def bounded_categories(categories: DataFrame, most: int = MOST_CATEGORIES) -> DataFrame:
-    """The table itself; error when it has more rows than a merge may handle."""
-    seen = categories.select("cluster").limit(most + 1).count()
-    if seen > most:
-        raise ValueError(f"more than {most} categories")
-    return categories
+def bounded_list(entry: Column, most: int = MOST_CATEGORIES) -> Column:
+    """Aggregate of all rows as one sorted list; an error when there are more than ``most``.
+
+    The guard is part of the plan: nothing is computed beforehand to count.
+    """
+    n = F.count(F.lit(1))
+    return F.when(n <= most, F.array_sort(F.collect_list(entry))).otherwise(
+        F.raise_error(F.format_string("%d categories, more than %d", n, F.lit(most))))
 
 
 @dataclass(frozen=True)
@@ -93,16 +96,17 @@ class Category:
 
 
 def merge_categories(
-    categories: DataFrame, max_categories: int = 20, min_similarity: float = 0.1
+    categories: DataFrame, max_categories: int = 20, min_similarity: float = 0.1,
+    most: int = MOST_CATEGORIES,
 ) -> tuple[DataFrame, DataFrame]:
     """Greedy merge of the most similar pair until few enough remain.
 
     Returns the map (old, new) and the merged summaries.  Of equal pairs the first in
     order of the clusters is taken.
     """
-    rows = categories.select(*FIELDS).limit(MOST_CATEGORIES + 1).collect()
-    if len(rows) > MOST_CATEGORIES:
-        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    rows = categories.select(*FIELDS).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} categories")
     now = {
         r["cluster"]: Category(
             tuple(r["top_words"]), tuple(r["top_causes"]), r["num_incidencias"],
@@ -135,7 +139,7 @@ def merge_categories(
 def apply_mapping(df: DataFrame, mapping: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Replace old clusters by new ones.
 
-    A map of up to fifty rows, as a merge gives, is broadcast: the tickets stay where
+    A map of so many rows as a merge may give is broadcast: the tickets stay where
     they are.
     """
     small = broadcast_if_small(mapping, MOST_CATEGORIES)
@@ -148,9 +152,9 @@ def merge_profile(parts: DataFrame, mapping: DataFrame, dims: bool = False) -> D
 
     Words and causes by frequency over the lists, first seen first on ties; sizes and
     urgency summed, flags combined, length averaged without weights.  With ``dims`` the
-    ``center`` arrays are averaged as well.
+    ``center`` arrays are averaged as well. A cluster that the map does not name stays.
     """
-    j = parts.join(mapping, F.col("cluster") == F.col("old"))
+    j = parts.join(mapping, F.col("cluster") == F.col("old"), "left").withColumn("new", F.coalesce("new", "cluster"))
 
     def merged_list(col: str, n: int) -> DataFrame:
         seen = j.select("new", "cluster", F.posexplode(col).alias("pos", "value"))

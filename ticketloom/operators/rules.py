@@ -185,18 +185,25 @@ def safe_classify(df: DataFrame, classified: DataFrame | None = None) -> DataFra
 
 # -- user-supplied rule tables ----------------------------------------------
 
-def few_rules(rules_df: DataFrame, limit: int = FEW_RULES) -> list[tuple[str, list[str]]] | None:
-    """The rule table as a list when it has at most ``limit`` phrases, else None."""
-    rows = rules_df.select("category", "category_order", "keyword", "keyword_order").limit(
-        limit + 1
-    ).collect()
+def prepared_rules(rules_df: DataFrame) -> DataFrame:
+    """A rule table as both forms use it: lower case, no null or empty phrase, each phrase
+    of a category once, at its first place."""
+    return (
+        rules_df.select("category", "category_order", F.lower("keyword").alias("keyword"), "keyword_order")
+        .where("category is not null and keyword <> ''")
+        .groupBy("category", "category_order", "keyword")
+        .agg(F.min("keyword_order").alias("keyword_order"))
+    )
+
+
+def few_rules(rules: DataFrame, limit: int = FEW_RULES) -> list[tuple[str, list[str]]] | None:
+    """A prepared rule table as a list when it has at most ``limit`` phrases, else None."""
+    rows = rules.limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     out: dict[tuple[int, str], list[tuple[int, str]]] = {}
     for r in rows:
-        out.setdefault((r["category_order"], r["category"]), []).append(
-            (r["keyword_order"], r["keyword"].lower())
-        )
+        out.setdefault((r["category_order"], r["category"]), []).append((r["keyword_order"], r["keyword"]))
     return [(c, [k for _, k in sorted(kws)]) for (_, c), kws in sorted(out.items())]
 
 
@@ -215,46 +222,46 @@ def _beginnings(text: Column, widths: Sequence[int]) -> Column:
     return F.concat(*parts)
 
 
-def match_many_rules(df: DataFrame, key: str, text: str, rules_df: DataFrame) -> DataFrame:
-    """Pairs of ticket and phrase, for rule tables of any size.
+def match_many_rules(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ticket and phrase, for prepared rule tables of any size.
 
-    A phrase can only occur where its first characters do.  Tickets and phrases meet
-    on those characters by an equality join, so no ticket is compared with every
-    phrase; the few candidates then meet the ticket text once more to check the whole
-    phrase.  AQE splits a frequent beginning.
+    A phrase can only occur where its first characters do. Tickets and phrases meet on
+    those characters by an equality join, and the whole phrase is looked for in the text,
+    which is still in the row: up to ``BROADCAST_RULES`` phrases nothing is shuffled.
+    Beyond, the join shuffles and AQE splits a frequent beginning.
     """
-    phrases = rules_df.withColumn("keyword", F.lower("keyword")).where("keyword <> ''")
-    phrases = phrases.withColumn("_width", _begin_width(F.col("keyword")))
+    phrases = rules.withColumn("_width", _begin_width(F.col("keyword")))
     phrases = phrases.withColumn("_begin", F.expr("left(keyword, _width)"))
     # At most four widths: 1, 2, 3 and 6.
     widths = sorted(r[0] for r in phrases.select("_width").distinct().collect())
-    begins = df.select(key, F.explode(_beginnings(F.col(text), widths)).alias("_begin"))
+    begins = df.select(*keep, F.col(text).alias("_text"), F.explode(_beginnings(F.col(text), widths)).alias("_begin"))
     small = broadcast_if_small(phrases.drop("_width"), BROADCAST_RULES)
-    candidates = begins.join(small, "_begin").drop("_begin")
-    checked = candidates.join(df.select(key, text), key).where(
-        F.col(text).contains(F.col("keyword"))
-    )
-    return checked.select(key, "category", "category_order", "keyword", "keyword_order")
+    return begins.join(small, "_begin").where(F.col("_text").contains(F.col("keyword"))).drop("_begin", "_text")
 
 
 def classify_with_rules(
     df: DataFrame, rules_df: DataFrame, key: str = "ticket_id", text: str = "processed_text",
     limit: int = FEW_RULES,
 ) -> DataFrame:
-    """Winning category per ticket under a user's rule table.
+    """Winning category per ticket under a user's rule table; tickets without one are left out.
 
-    ``rules_df``: category, category_order, keyword, keyword_order.  Up to ``limit``
-    phrases become literals of one projection.  Larger tables are joined, and both
-    ways give the same rows.
+    ``rules_df``: category, category_order, keyword, keyword_order. Up to ``limit``
+    phrases become literals of one projection. Larger tables are joined. Both ways use
+    the same prepared table and give the same rows, one for each row of ``df``.
     """
-    small = few_rules(rules_df, limit)
+    rules = prepared_rules(rules_df)
+    small = few_rules(rules, max(limit, 0))
+    if small == [] or limit < 1 and few_rules(rules, 1) == []:
+        names = (("predicted_type", "string"), ("score", "int"), ("confidence", "double"), ("rule_matched", "string"))
+        return df.select(key, *(F.lit(None).cast(t).alias(n) for n, t in names)).where("false")
     if small is not None:
         won = best_rule(df, text, small, [])
         return won.where("predicted_type IS NOT NULL").select(
             key, "predicted_type", "score", "confidence", "rule_matched"
         )
-    pairs = match_many_rules(df, key, text, rules_df).distinct()
-    per_category = pairs.groupBy(key, "category", "category_order").agg(
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    pairs = match_many_rules(numbered, text, rules, "_row", key)
+    per_category = pairs.groupBy("_row", key, "category", "category_order").agg(
         F.count("*").cast("int").alias("score"),
         F.array_join(
             F.transform(
@@ -264,7 +271,7 @@ def classify_with_rules(
             ", ",
         ).alias("rule_matched"),
     )
-    first = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("category_order"))
+    first = Window.partitionBy("_row").orderBy(F.desc("score"), F.asc("category_order"), F.asc("category"))
     return (
         per_category.withColumn("_rn", F.row_number().over(first))
         .where("_rn = 1")
@@ -283,10 +290,11 @@ def classify_with_rules(
 def triage(classified: DataFrame, routing_df: DataFrame) -> DataFrame:
     """Auto-triage record: group, priority and confidence of each ticket.
 
-    ``routing_df``: category, grupo, at most one row per category.  The join is left,
-    so a ticket without a route keeps its record under ``Sin asignar``.
+    ``routing_df``: category, grupo; of several groups of a category the first by name
+    counts.  The join is left, so a ticket without a route keeps its record under
+    ``Sin asignar``.
     """
-    routes = routing_df.select(F.col("category").alias("predicted_type"), "grupo")
+    routes = routing_df.groupBy(F.col("category").alias("predicted_type")).agg(F.min("grupo").alias("grupo"))
     routed = classified.join(
         broadcast_if_small(routes, BROADCAST_ROUTES), "predicted_type", "left"
     )

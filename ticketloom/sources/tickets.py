@@ -23,48 +23,80 @@ TICKET_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for _, name in HEADINGS]
     + [T.StructField("created_at", T.TimestampNTZType())]
 )
-FILE_SCHEMA = T.StructType([T.StructField(h, T.StringType()) for h, _ in HEADINGS])
+# Other spellings of two headings.
+VARIANTS = (("Causa Raiz", "causa_raiz"), ("Tipo de Ticket", "tipo_ticket"))
+KEY_COLUMNS = ("ticket_id", "resumen", "notas")
 
 
-def _renamed(df: DataFrame) -> DataFrame:
-    """File headings to our names; spelling variants of two headings are accepted."""
-    variants = {"Causa Raiz": "causa_raiz", "Tipo de Ticket": "tipo_ticket"}
-    names = {**dict(HEADINGS), **variants}
-    return df.withColumnsRenamed({c: names[c] for c in df.columns if c in names})
+def _spellings(name: str) -> list[str]:
+    """Headings under which a column of ours may stand, in the order they are taken."""
+    return [h for h, n in (*HEADINGS, *VARIANTS) if n == name] + [name]
+
+
+def named_columns(df: DataFrame) -> DataFrame:
+    """The ticket columns by heading, whatever their order in the file.
+
+    Headings match without regard to case and outer blanks. Of several spellings of one
+    column the first with a value counts. Other columns are left out, missing ones are
+    null, but two of the key columns must be there.
+    """
+    there: dict[str, list[str]] = {}
+    for c in df.columns:
+        there.setdefault(c.strip().lower(), []).append(c)
+    found, out = [], []
+    for field in TICKET_SCHEMA:
+        spelt = dict.fromkeys(c for h in _spellings(field.name) for c in there.get(h.lower(), ()))
+        cols = [F.col(f"`{c.replace('`', '``')}`") for c in spelt]
+        if cols:
+            found.append(field.name)
+        value = F.coalesce(*cols) if cols else F.lit(None)
+        out.append((value.try_cast(field.dataType) if cols else value.cast(field.dataType)).alias(field.name))
+    missing = [c for c in KEY_COLUMNS if c not in found]
+    if len(missing) > 1:
+        raise ValueError(f"no column for {missing} among {df.columns}")
+    return df.select(*out)
 
 
 def read_tickets_csv(
-    spark: SparkSession, path: str, schema: T.StructType = FILE_SCHEMA, sep: str = ";",
-    encoding: str = "ISO-8859-1", multiline: bool = False,
+    spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1",
+    multiline: bool = False,
 ) -> DataFrame:
-    """Delimited ticket file with a heading line.
+    """Delimited ticket file, or folder of files with one heading line each.
 
+    Columns are found by heading. The heading line is all that is read beforehand; a file
+    whose headings differ from the first one's is an error, never read by position.
     ``multiline`` lets a quoted field hold line breaks; such a file cannot be split,
     so leave it off for large files and write one file per part instead.
     """
-    return _renamed(
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    def reader():
+        return (
+            spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
+            .option("escape", '"').option("multiLine", multiline)
+        )
+
+    headings = reader().csv(path).schema
+    return named_columns(reader().schema(headings).option("enforceSchema", False).csv(path))
 
 
 def read_tickets(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None
 ) -> DataFrame:
-    """Ticket table in parquet, orc, json or csv."""
+    """Ticket table in parquet, orc, json or csv, its columns found by name.
+
+    JSON lines may each spell a heading in their own way, as file headings or ours.
+    """
     if fmt == "csv":
-        return read_tickets_csv(spark, path, schema or FILE_SCHEMA)
-    if fmt in ("parquet", "orc", "json"):
-        reader = spark.read.format(fmt)
-        if schema is not None or fmt == "json":
-            reader = reader.schema(schema or TICKET_SCHEMA)
-        return _renamed(reader.load(path))
-    raise ValueError(f"unknown format {fmt!r}")
+        return read_tickets_csv(spark, path)
+    if fmt not in ("parquet", "orc", "json"):
+        raise ValueError(f"unknown format {fmt!r}")
+    if fmt == "json" and schema is None:
+        fields = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+        lines = spark.read.text(path).select(fields.alias("m"))
+        return lines.select(*(
+            F.coalesce(*(F.col("m")[x] for h in _spellings(f.name) for x in dict.fromkeys((h, h.lower()))))
+            .try_cast(f.dataType).alias(f.name) for f in TICKET_SCHEMA))
+    reader = spark.read.format(fmt)
+    return named_columns((reader.schema(schema) if schema is not None else reader).load(path))
 
 
 def require_columns(
@@ -187,18 +219,9 @@ def tickets_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread the rows of a table that has fewer files than there are cores.
-
-    Text work is bound by the processor, and a table of one file is read by one task.
-    A table with many files is left as it is: nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def load_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets of a test data folder."""
+    """Tickets of a test data folder, dealt over the cores: a folder is one small file."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tickets_from_documents(spread_small(docs))
+    cores = spark.sparkContext.defaultParallelism
+    return tickets_from_documents(docs.repartition(cores, "doc_id"))
 
