@@ -209,7 +209,7 @@ def h8(spark, sf):
     *VOCAB_C, *WEIGHTS))
 def h9(spark, sf):
     t = terms_of(spark, sf)
-    w = ft.tf_idf(t, ft.fit_vocabulary(t), K)
+    w = ft.tf_idf(t, ft.fit_vocabulary(t), K, keep=("cluster",))
     cents = cl.term_centroids(w, t.select(K, "cluster"), K)
     # Equal terms must rank alike in both engines: compare weights without rounding noise.
     cents = cents.withColumn("value", F.round("value", 12))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,10 +68,3 @@ def entity_value_counts(df: DataFrame, text: str, name: str) -> DataFrame:
         .groupBy("value")
         .agg(F.count("*").alias("tickets"))
     )
-
-
-def any_entity(c: Column | str, names: Sequence[str] = ENTITY_TYPES) -> Column:
-    """True when at least one entity type occurs."""
-    return reduce(
-        lambda a, b: a | b, [F.lower(_col(c)).rlike(entity_pattern(n)) for n in names]
-    )

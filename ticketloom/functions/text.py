@@ -116,13 +116,6 @@ def default_text(c: Column | str, value: Column | str) -> Column:
 
 # -- tokens -----------------------------------------------------------------
 
-def word_runs(c: Column | str) -> Column:
-    """Runs of word characters, in text order (empty strings dropped)."""
-    return F.filter(
-        F.split(F.lower(F.coalesce(_col(c), F.lit(""))), rf"[^{WORD}]+"), lambda x: x != ""
-    )
-
-
 def word_tokens(c: Column | str) -> Column:
     """Word runs of at least two characters: the vectorizer's tokens."""
     return F.regexp_extract_all(

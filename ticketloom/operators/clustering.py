@@ -6,8 +6,6 @@ from collections.abc import Iterable
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.config import Config
@@ -91,23 +89,16 @@ def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") ->
     return flat.groupBy("label", "pos").agg(F.avg("x").alias("value"))
 
 
-def feature_centroids(df: DataFrame, label: str = "prediction", terms: list[str] | None = None) -> DataFrame:
-    """Mean feature vector per cluster, as (label, pos, value) and the term if given."""
-    mean = df.groupBy(F.col(label).alias("label")).agg(Summarizer.mean(F.col("features")).alias("m"))
-    flat = mean.select("label", F.posexplode(vector_to_array("m")).alias("pos", "value"))
-    if terms is None:
-        return flat
-    names = df.sparkSession.createDataFrame(list(enumerate(terms)), "pos int, term string")
-    return flat.join(names, "pos")
-
-
 def term_centroids(weights: DataFrame, clusters: DataFrame, doc: str, cluster: str = "cluster") -> DataFrame:
     """Mean weight per cluster and term from the long table: (label, term, value).
 
-    Documents that lack the term count as zero.
+    Documents that lack the term count as zero.  Weights that carry the cluster are not
+    joined.
     """
     sizes = clusters.groupBy(cluster).agg(F.count("*").alias("_n"))
-    sums = weights.join(clusters, doc).groupBy(cluster, "term").agg(F.sum("weight").alias("_s"))
+    if cluster not in weights.columns:
+        weights = weights.join(clusters, doc)
+    sums = weights.groupBy(cluster, "term").agg(F.sum("weight").alias("_s"))
     return sums.join(sizes, cluster).select(
         F.col(cluster).alias("label"), "term", (F.col("_s") / F.col("_n")).alias("value")
     )

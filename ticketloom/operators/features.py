@@ -5,14 +5,12 @@ The vocabulary is chosen once, with ties in alphabetical order, and both forms u
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketloom.functions.text import bound, ngrams_1_2, rows_of, word_tokens
+from ticketloom.functions.text import bound, ngrams_1_2, word_tokens
 
 
 def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
@@ -72,27 +70,42 @@ def fit_vocabulary(
     return top.withColumn("idf", smooth_idf(n, F.col("df")))
 
 
-def term_counts(df: DataFrame, vocabulary: DataFrame, doc: str, terms: str = "terms") -> DataFrame:
-    """Occurrences of each vocabulary term per document.
+def _long_rows(
+    df: DataFrame, vocabulary: DataFrame, doc: str, terms: str, keep: tuple[str, ...], max_features: int
+) -> DataFrame:
+    """Non-zero entries of the vector form: document, kept columns, term, tf, weight.
 
-    The vocabulary is at most ``max_features`` rows, so it is broadcast and unknown
-    terms are dropped before the only shuffle, which is by document: the weights and
-    norms of ``tf_idf`` reuse it.
+    A document is one row, so its counts and its norm are row-local: nothing is shuffled,
+    and only the entries leave the row.
     """
-    flat = df.select(doc, rows_of(terms).alias("term"))
-    known = flat.join(F.broadcast(vocabulary), "term").repartition(doc)
-    return known.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    model = vectorizer(vocabulary, max_features)
+    named = F.split(F.lit("\0".join(vocabulary_of(model))), "\0")
+    rows = model.transform(df.select(doc, *keep, F.col(terms).alias("terms")))
+    counts, weights = F.unwrap_udt("_counts"), F.unwrap_udt("features")
+    entries = F.transform(counts["indices"], lambda i, k: F.struct(
+        (i + 1).alias("_i"), F.get(counts["values"], k).cast("bigint").alias("tf"),
+        F.get(weights["values"], k).alias("weight")))
+    flat = rows.select(doc, *keep, F.inline(entries))
+    return flat.select(doc, *keep, F.element_at(named, F.col("_i")).alias("term"), "tf", "weight")
+
+
+def term_counts(
+    df: DataFrame, vocabulary: DataFrame, doc: str, terms: str = "terms", keep: tuple[str, ...] = (),
+    max_features: int = 8000,
+) -> DataFrame:
+    """Occurrences of each vocabulary term per document; row-local."""
+    return _long_rows(df, vocabulary, doc, terms, keep, max_features).drop("weight")
 
 
-def tf_idf(df: DataFrame, vocabulary: DataFrame, doc: str, terms: str = "terms") -> DataFrame:
-    """Long table (document, term, tf, weight) with rows of length one.
+def tf_idf(
+    df: DataFrame, vocabulary: DataFrame, doc: str, terms: str = "terms", keep: tuple[str, ...] = (),
+    max_features: int = 8000,
+) -> DataFrame:
+    """Long table (document, kept columns, term, tf, weight) with rows of length one.
 
     Also transforms new documents with a vocabulary fitted on others.
     """
-    counts = term_counts(df, vocabulary, doc, terms)
-    raw = counts.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
-    return raw.select(doc, "term", "tf", (F.col("_w") / norm).alias("weight"))
+    return _long_rows(df, vocabulary, doc, terms, keep, max_features)
 
 
 def vectorizer(vocabulary: DataFrame, max_features: int = 8000) -> PipelineModel:
@@ -124,8 +137,3 @@ def with_features(df: DataFrame, text: str, model: PipelineModel) -> DataFrame:
     """Add ``features``; row-local."""
     out = model.transform(with_terms(df, text))
     return out.drop("terms", "_counts", "_weighted")
-
-
-def idf_value(n_docs: int, df: int) -> float:
-    """The same weight for one term, outside a plan."""
-    return math.log((1 + n_docs) / (1 + df)) + 1
