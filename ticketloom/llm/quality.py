@@ -54,7 +54,7 @@ def host_lines(docs: DataFrame) -> DataFrame:
     base = pinned(docs, "source", h=_line_hashes(_normalised_lines(F.col("text"))))
     near = F.transform("h", lambda x, i: F.struct(
         x.alias("line"), i.alias("i"),
-        F.xxhash64(F.get("h", i - 1), F.get("h", i + 1)).alias("near")))
+        F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0)), F.coalesce(F.get("h", i + 1), F.lit(0))).alias("near")))
     first = let(F.sort_array(F.filter(near, lambda x: x["line"].isNotNull())), lambda s: F.filter(
         s, lambda x, i: (i == 0) | (F.get(s, i - 1)["line"] != x["line"])))
     rows = base.select("source", F.inline(first)).drop("i")

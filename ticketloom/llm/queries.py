@@ -13,6 +13,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: SQL for the quality rules: the same counts over lines and words laid out as rows.
+ORACLES["op8_quality_rules"] = f"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+w as (select doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d),
+li as (select doc_id, source, unnest(string_split(t, chr(10))) as raw, unnest(range(len(string_split(t, chr(10))))) as i from d),
+ln as (select *, nullif(trim(regexp_replace(regexp_replace(lower(raw), '[0-9]+', '0', 'g'), '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' '), '') as nl,
+  len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) as lw from li),
+nb as (select *, lag(nl) over (partition by doc_id order by i) as p, lead(nl) over (partition by doc_id order by i) as q from ln),
+f as (select * from nb where nl is not null qualify row_number() over (partition by doc_id, nl order by i) = 1),
+g as (select source, nl, p, q, count(*) as n from f group by source, nl, p, q),
+h as (select source, nl, least(sum(n), count(*)) as many from g group by source, nl),
+sz as (select source, count(*) as size from d group by source),
+bad as (select h.source, h.nl from h join sz on h.source is not distinct from sz.source
+  where many >= {quality.LINE_DOCUMENTS} and many >= {quality.LINE_SHARE} * size),
+lost as (select doc_id, sum(lw) as lost_words from ln join bad on ln.source is not distinct from bad.source and ln.nl = bad.nl group by doc_id),
+dup as (select doc_id, count(*) - count(distinct raw) as n_dup_lines from ln where lw > 0 group by doc_id),
+wi as (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3),
+wc as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as c from wi),
+cov as (select doc_id, count(distinct k) as n_repeat_words from (
+  select doc_id, i as k from wc where c > 1 union all select doc_id, i + 1 from wc where c > 1
+  union all select doc_id, i + 2 from wc where c > 1) group by doc_id),
+r as (select d.doc_id, cast(len(w.ws) as bigint) as n_words, cast(len(array_to_string(w.ws, '')) as bigint) as word_chars,
+  cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+  cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(coalesce(lost_words, 0) as bigint) as lost_words
+  from d join w using (doc_id) left join dup using (doc_id) left join cov using (doc_id) left join lost using (doc_id))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * lost_words <= n_words as kept from r
+"""
+
+
 def _query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
     return fn
