@@ -7,7 +7,7 @@ goes to the child of its minwise token under each. Records of similarity s stay
 with probability s at each step; with 1.25 children a node, a pair at 0.8 meets at a
 given leaf level once per tree on average. Nodes of few records are compared
 exhaustively by sketches; larger ones branch again. A node that is still large after the
-last level is dealt into small blocks, and every record of it is compared with the
+last level, or that keeps most of its parent's records, is dealt into small blocks, and every record of it is compared with the
 node's pivot, so groups of thousands of near copies are tied together without all their
 pairs. ``TREES`` trees find a pair at the threshold with probability above 0.998.
 
@@ -39,6 +39,9 @@ LEVELS = 6
 FIRST_LEVELS = 2
 #: Records of a node that are compared exhaustively.
 SMALL_NODE = 192
+#: A node that keeps this share of its parent's records is dense: its records are alike,
+#: and branching would only copy them.
+DENSE = 0.75
 #: Bytes of a sketch, and equal bytes from which a pair is a candidate at threshold 0.8.
 SKETCH = 64
 SKETCH_MARGIN = 0.22
@@ -122,17 +125,18 @@ def _walk(path: np.ndarray, level: int, tree: np.ndarray, sig: np.ndarray) -> tu
     return np.concatenate(out_rows), np.concatenate(out_paths)
 
 
-_NODE = "tree int, path bigint, id bigint, n bigint, sketch binary"
+_NODE = "tree int, path bigint, id bigint, n bigint, sketch binary, parent bigint"
 
 
 def _matrix(column, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def _node_batch(tree, path, ids, n, sketch) -> pa.RecordBatch:
+def _node_batch(tree, path, ids, n, sketch, parent) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(tree.astype(np.int32)), pa.array(path.view(np.int64)), pa.array(ids), pa.array(n),
-        pa.array([x.tobytes() for x in sketch], pa.binary())], names=["tree", "path", "id", "n", "sketch"])
+        pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(parent)],
+        names=["tree", "path", "id", "n", "sketch", "parent"])
 
 
 def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,7 @@ def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for level in range(FIRST_LEVELS):
                 r, path = _walk(path, level, tree, sig[row])
                 row, tree = row[r], tree[r]
-            yield _node_batch(tree, path, ids[row], n[row], sketch[row])
+            yield _node_batch(tree, path, ids[row], n[row], sketch[row], np.zeros(len(row), np.int64))
 
 
 def _next_nodes(level: int):
@@ -157,9 +161,9 @@ def _next_nodes(level: int):
             if not batch.num_rows:
                 continue
             sig = _matrix(batch.column(5), np.uint32, TREES * LEVELS * 2)
-            tree, path, ids, n = (batch.column(i).to_numpy() for i in range(4))
+            tree, path, ids, n, size = (batch.column(i).to_numpy() for i in range(5))
             r, child = _walk(path.view(np.uint64), level, tree, sig)
-            yield _node_batch(tree[r], child, ids[r], n[r], sig[r, :SKETCH].astype(np.uint8))
+            yield _node_batch(tree[r], child, ids[r], n[r], sig[r, :SKETCH].astype(np.uint8), size[r])
     return run
 
 
@@ -246,34 +250,38 @@ def _pivots(similarity: float):
     return run
 
 
-def candidates(records: DataFrame, similarity: float) -> DataFrame:
+def candidates(first: DataFrame, records: DataFrame, similarity: float) -> DataFrame:
     """Pairs a < b with the number of equal sketch bytes, from all trees and levels.
 
-    ``records`` has id, n, sig. Counts are combined before the shuffle; the joins by
+    ``first`` holds id, n, sig of the records to pair; ``records`` is a written table in
+    which the signatures of those that branch further are looked up. Counts are combined before the shuffle; the joins by
     path and by id may be split where a key is hot.
     """
     spark = records.sparkSession
-    rows = records.select("id", "n", "sig").mapInArrow(_first_nodes, _NODE)
+    rows = first.select("id", "n", "sig").mapInArrow(_first_nodes, _NODE)
     pairs, level = [], FIRST_LEVELS
     while True:
         draw = F.xxhash64("id", "path")
         nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("pivot")).where("size > 1")
         held = written(rows.join(nodes, "path"), scratch_path(spark, "nodes"))
         small = held.where(F.col("size") <= SMALL_NODE).select("path", "id", "n", "sketch")
+        dense = (F.col("parent") > 0) & (F.col("size") >= DENSE * F.col("parent")) | F.lit(level == LEVELS)
         large = held.where(F.col("size") > SMALL_NODE)
-        some = large.limit(1).count()
-        if some and level == LEVELS:
+        last, wide = large.where(dense), large.where(~dense)
+        if last.limit(1).count():
             blocks = F.ceil(F.col("size") * 2 / SMALL_NODE)
-            small = small.union(large.select(
+            small = small.union(last.select(
                 F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("path"), "id", "n", "sketch"))
-            chief = large.where(draw == F.col("pivot")).select("path", F.col("id").alias("chief"), F.col("sketch").alias("mark"))
-            star = large.join(chief, "path").where("id <> chief").select("id", "chief", "sketch", "mark")
+            chief = last.where(draw == F.col("pivot")).select("path", F.col("id").alias("chief"), F.col("sketch").alias("mark"))
+            star = last.join(chief, "path").where("id <> chief").select("id", "chief", "sketch", "mark")
             pairs.append(star.mapInArrow(_pivots(similarity), _PAIR))
         pairs.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaves(similarity), _PAIR))
-        if not some or level == LEVELS:
+        ids = written(wide.select("id").distinct(), scratch_path(spark, "wide"))
+        if not ids.limit(1).count():
             break
-        rows = large.select("tree", "path", "id", "n", "sketch").join(
-            records.select("id", "sig"), "id").select("tree", "path", "id", "n", "sketch", "sig").mapInArrow(_next_nodes(level), _NODE)
+        some = records.join(small_side(ids), "id", "left_semi").select("id", "sig")
+        rows = wide.select("tree", "path", "id", "n", "size").join(some, "id").select(
+            "tree", "path", "id", "n", "size", "sig").mapInArrow(_next_nodes(level), _NODE)
         level += 1
     return reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
@@ -310,9 +318,10 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     reps = feats.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     own = feats.select("doc_id", "n", "key").join(reps, "key", "left").select("doc_id", "n", "rep")
     own = written(own, scratch_path(spark, "records"))
-    records = feats.where("n > 0").join(own.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(
-        ["doc_id"]).select(F.col("doc_id").alias("id"), "n", "sig")
-    pairs = written(candidates(records, similarity), scratch_path(spark, "pairs"))
+    reps = own.where("doc_id = rep").select("doc_id").distinct()
+    records = feats.where("n > 0").select(F.col("doc_id").alias("id"), "n", "sig")
+    first = feats.where("n > 0").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "sig")
+    pairs = written(candidates(first, records, similarity), scratch_path(spark, "pairs"))
 
     sides = pairs.select(F.col("a").alias("id"), F.struct("equal", "a", "b").alias("p")).union(
         pairs.select(F.col("b").alias("id"), F.struct("equal", "a", "b").alias("p")))
