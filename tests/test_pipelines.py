@@ -32,6 +32,16 @@ def test_train_save_load_classify(spark, tickets, tmp_path):
     assert sum(doc["cluster_info"]["cluster_sizes"].values()) == tickets.count()
 
 
+def test_training_keeps_tickets_without_or_with_repeated_ids(spark, tickets, tmp_path):
+    odd = tickets.withColumn("ticket_id", F.when(F.col("doc_id") < 5, F.lit(None)).when(F.col("doc_id") < 9, F.lit("T")).otherwise(F.col("ticket_id")))
+    run = tr.train_pipeline(odd, LIGHT, str(tmp_path / "o"), cv_folds=2)
+    assert run.sizes.agg(F.sum("size")).first()[0] == odd.count() == run.clustered.count()
+    assert 0 <= run.metrics.first()["model_cv_score"] <= 1
+    assert "entities" in run.clustered.columns
+    for name in ("categorias", "resumen_ejecutivo", "principales"):
+        assert list(Path(tmp_path, "o/reports", name).glob("part-*.json"))
+
+
 def test_cascade_gives_the_model_only_open_tickets(spark, tickets):
     run = tr.train_pipeline(tickets, LIGHT)
     open_ids = {r[0] for r in ru.classify_rules(tickets).where("predicted_type IS NULL").select("ticket_id").collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ticketloom.operators.ranking import hash_order, spread_rank
+from ticketloom.operators.ranking import broadcast_if_small, hash_order, spread_rank
 
 
 def holdout(df: DataFrame, n: int = 100, seed: int = 42, key: str = "ticket_id"):
@@ -56,6 +56,30 @@ def stratified_split(
     )
 
 
+def split_points(
+    df: DataFrame, label: str, fraction: float = 0.2, seed: int = 42, key: str = "ticket_id"
+) -> DataFrame:
+    """Last test row of each label in hash order: label, point. One row per label."""
+    sizes = test_sizes(df, label, fraction).select(F.col(label).alias("_label"), "n_test")
+    ranked = spread_rank(df.select(label, key), label, key, seed, out="_rank")
+    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_rank") == F.col("n_test"))
+    point = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    return ranked.join(sizes, same).select(label, point.alias("point"))
+
+
+def split_by_points(
+    df: DataFrame, points: DataFrame, label: str, seed: int = 42, key: str = "ticket_id"
+) -> DataFrame:
+    """Add ``is_test`` against the points of ``split_points``; the rows stay where they are.
+
+    Rows of one key fall on the same side.
+    """
+    small = broadcast_if_small(points.select(F.col(label).alias("_label"), "point"), 100_000)
+    here = F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("k"))
+    joined = df.join(small, df[label].eqNullSafe(F.col("_label")), "left")
+    return joined.withColumn("is_test", F.coalesce(here <= F.col("point"), F.lit(False))).drop("_label", "point")
+
+
 def fold_of(key: Column | str, k: int = 5, seed: int = 42) -> Column:
     """Cross-validation fold 0..k-1 of a row, from its hash alone."""
     return (F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long") % k).cast("int")

@@ -64,6 +64,18 @@ def category_report(cats: DataFrame) -> DataFrame:
     )
 
 
+def semantic_report(cats: DataFrame) -> DataFrame:
+    """Report rows of the analyzer's categories by volume, their fields as text."""
+    by_volume = Window.orderBy(F.desc("num_incidencias"), "cluster")
+    return cats.select(
+        F.row_number().over(by_volume).alias("orden"), "cluster", F.upper("nombre").alias("titulo"),
+        "num_incidencias", F.round("porcentaje_total", 2).alias("porcentaje_total"),
+        F.coalesce("nivel_criticidad", F.lit("No evaluada")).alias("criticidad"), "descripcion",
+        join_first("palabras_clave", 5).alias("palabras_clave"),
+        join_first("causas_principales", 3).alias("causas_principales"),
+    )
+
+
 def top_categories(cats: DataFrame, n: int = 5) -> DataFrame:
     """Largest categories."""
     return cats.select("cluster", "nombre", "num_incidencias").orderBy(
