@@ -15,6 +15,7 @@ suffixes, and the shards of the suffix order are dealt by them.
    carried along: one more where the bytes agree, the minimum over what was passed.
    Neighbours with a common prefix of 100 bytes hold the same string; all but the
    earliest in a run are marked.
+   Equal surroundings of a gram are collapsed to the earliest before the sort.
 4. Grams that stand in very many places do not fill one task: their strings are hashed
    one by one (128 bits), the earliest place is found by a combined minimum, and the
    others are marked by a join. Same marks, other route.
@@ -42,8 +43,8 @@ from ticketloom.llm.common import scratch_path, small_side, written
 LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
-#: Places from which a gram's strings take the route of step 4.
-HOT = 10_000
+#: Places from which a gram's strings take the route of step 4: what a task holds at most.
+HOT = 500_000
 #: Bytes hashed at a time, and grams sorted at a time.
 CHUNK = 1 << 20
 SORT_ROWS = 30_000
@@ -297,6 +298,23 @@ def induced_marks(group: np.ndarray, doc: np.ndarray, place: np.ndarray, pieces:
     return marks
 
 
+def _alone(gram: np.ndarray, doc: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest row of each gram with equal bytes around it, and the later rows.
+
+    All strings of a later row stand in the earliest one. Rows of one place (of rows that
+    share a doc_id) are given once.
+    """
+    first: dict[tuple, int] = {}
+    shift, spot = ((place >> 8) & 255).tolist(), list(zip(doc.tolist(), (place >> 16).tolist()))
+    keys = list(zip(gram.tolist(), shift, pieces))
+    for i, k in enumerate(keys):
+        j = first.setdefault(k, i)
+        if spot[i] < spot[j]:
+            first[k] = i
+    rest = [i for i, k in enumerate(keys) if spot[i] != spot[first[k]]]
+    return np.array(sorted(first.values()), np.int64), np.array(rest, np.int64)
+
+
 def _sorted_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram; whole grams are taken together, in chunks."""
     held: list[tuple] = []
@@ -306,8 +324,12 @@ def _sorted_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         gram = np.concatenate([r[0] for r in rows])
         doc, place = (np.concatenate([r[k] for r in rows]) for k in (1, 2))
         pieces = [p for r in rows for p in r[3]]
-        group = np.concatenate(([0], np.cumsum(np.diff(gram) != 0)))
-        marks = induced_marks(group, doc, place, pieces)
+        one, rest = _alone(gram, doc, place, pieces)
+        group = np.concatenate(([0], np.cumsum(np.diff(gram[one]) != 0)))
+        marks = np.zeros((len(gram), SPAN), bool)
+        marks[one] = induced_marks(group, doc[one], place[one], [pieces[i] for i in one])
+        d = np.arange(SPAN)
+        marks[rest] = (d >= (place[rest] & 255)[:, None]) & (d <= ((place[rest] >> 8) & 255)[:, None])
         hit = np.flatnonzero(marks.any(axis=1))
         bits = np.packbits(marks[hit], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(place[hit] >> 16), pa.array(
