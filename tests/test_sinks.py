@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.operators.merge import bounded_list, category_similarity, merge_categories, merge_profile
+from ticketloom.operators.merge import category_similarity, merge_categories, merge_profile
+from ticketloom.operators.ranking import bounded_list
 from ticketloom.sources import sinks
 
 
@@ -24,7 +25,7 @@ def test_more_than_fifty_categories(spark):
 
 def test_guard_is_part_of_the_plan(spark):
     df = spark.range(51).agg(bounded_list(F.col("id"), 50).alias("x"))
-    with pytest.raises(Exception, match="51 categories"):
+    with pytest.raises(Exception, match="51 rows"):
         df.collect()
     with pytest.raises(ValueError):
         merge_categories(inputs(spark, 60), most=50)

@@ -13,9 +13,9 @@ ENTITY_TYPES = tuple(n for n, _ in lx.ENTITY_PATTERNS) + tuple(n for n, _ in lx.
 
 
 def entity_pattern(name: str) -> str:
-    """Regular expression of one entity type."""
+    """Regular expression of one entity type; a digit is one of any script."""
     patterns = dict(lx.ENTITY_PATTERNS)
-    return patterns[name] if name in patterns else whole_words(dict(lx.ENTITY_TERMS)[name])
+    return patterns[name].replace(r"\d", r"\p{Nd}") if name in patterns else whole_words(dict(lx.ENTITY_TERMS)[name])
 
 
 def extract_entity(c: Column | str, name: str) -> Column:

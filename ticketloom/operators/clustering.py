@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.config import Config
-from ticketloom.operators.ranking import top_n
+from ticketloom.operators.ranking import bounded_list, MOST_IN_A_ROW, top_n
 
 
 def choose_k(n: int, cfg: Config = Config()) -> int:
@@ -156,14 +156,15 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def assign_nearest(
-    df: DataFrame, cents: DataFrame, vector: str = "embedding", out: str = "nearest"
+    df: DataFrame, cents: DataFrame, vector: str = "embedding", out: str = "nearest",
+    most: int = MOST_IN_A_ROW,
 ) -> DataFrame:
     """Nearest centroid of each vector, ties to the smallest label.
 
     The centroids (clusters times dimensions) come as one scalar value, so each row is
-    handled where it lies: no join, no shuffle.
+    handled where it lies: no join, no shuffle. More than ``most`` labels are an error.
     """
-    rows = _per_label(cents).agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("c"))
+    rows = _per_label(cents).agg(bounded_list(F.struct("label", "mean"), most).alias("c"))
 
     def distance(mean: Column) -> Column:
         squares = F.zip_with(
@@ -182,18 +183,21 @@ def assign_nearest(
     )
 
 
-def silhouette_rows(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+def silhouette_rows(
+    df: DataFrame, label: str = "label", vector: str = "embedding", most: int = MOST_IN_A_ROW
+) -> DataFrame:
     """Silhouette of each row on squared distances, without comparing rows.
 
     The mean squared distance of x to a cluster is |x|^2 + mean|y|^2 - 2 x.mean(y), so
-    one small table of cluster means is all a row needs.
+    one small table of cluster means is all a row needs. More than ``most`` labels are an
+    error. The plain Euclidean silhouette is another figure: the two are not comparable.
     """
     v = df.withColumn("_v", F.col(vector).cast("array<double>"))
     squares = v.groupBy(F.col(label).alias("label")).agg(
         F.count("*").alias("n"), F.avg(_dot(F.col("_v"), F.col("_v"))).alias("sq")
     )
     table = squares.join(_per_label(centroids(df, label, vector)), "label")
-    rows = table.agg(F.array_sort(F.collect_list(F.struct("label", "n", "sq", "mean"))).alias("c"))
+    rows = table.agg(bounded_list(F.struct("label", "n", "sq", "mean"), most).alias("c"))
     spread = F.transform(
         "_c",
         lambda c: F.struct(

@@ -13,10 +13,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketloom.operators.ranking import broadcast_if_small, ranked_list, top_n
+from ticketloom.operators.ranking import MOST_IN_A_ROW as MOST_CATEGORIES, bounded_list, broadcast_if_small, ranked_list, top_n
 
-# What one row, and the driver, may hold; a guard with an error, not a cut.
-MOST_CATEGORIES = 5000
 FIELDS = ("cluster", "top_words", "top_causes", "num_incidencias", "avg_text_length",
           "has_technical_terms", "urgency_indicators")
 
@@ -54,16 +52,6 @@ def category_similarity(categories: DataFrame, most: int = MOST_CATEGORIES) -> D
     )
 
 
-def bounded_list(entry: Column, most: int = MOST_CATEGORIES) -> Column:
-    """Aggregate of all rows as one sorted list; an error when there are more than ``most``.
-
-    The guard is part of the plan: nothing is computed beforehand to count.
-    """
-    n = F.count(F.lit(1))
-    return F.when(n <= most, F.array_sort(F.collect_list(entry))).otherwise(
-        F.raise_error(F.format_string("%d categories, more than %d", n, F.lit(most))))
-
-
 @dataclass(frozen=True)
 class Category:
     """Summary of a category during the merge."""

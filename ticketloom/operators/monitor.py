@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.operators.summary import confidence_band
 
+from ticketloom.operators.ranking import bounded_list
+
 
 def week_of(ts: Column | str) -> Column:
     """Monday of the week."""
@@ -74,7 +76,7 @@ def mix_drift(df: DataFrame, kind: str, ts: str, baseline_until: str) -> DataFra
     late = counts.where(F.col("week") >= cut)
     weeks = late.groupBy("week").agg(F.sum("n").alias("week_n"))
     # Kinds of the baseline that a week lacks: expected pairs minus those seen.
-    kinds = F.array_sort(F.collect_set("kind"))
+    kinds = bounded_list(F.col("kind"))  # one row per kind in base; too many are an error
     expected = weeks.select("week", F.explode(base.agg(kinds).scalar()).alias("kind"))
     pairs = expected.unionByName(late.select("week", "kind")).distinct()
     joined = (

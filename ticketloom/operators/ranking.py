@@ -7,6 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# What one row, and the driver, may hold; a guard with an error, not a cut.
+MOST_IN_A_ROW = 5000
+
+
+def bounded_list(entry: Column, most: int = MOST_IN_A_ROW) -> Column:
+    """Aggregate of all rows as one sorted list; an error when there are more than ``most``.
+
+    The guard is part of the plan: nothing is computed beforehand to count.
+    """
+    n = F.count(F.lit(1))
+    return F.when(n <= most, F.array_sort(F.collect_list(entry))).otherwise(
+        F.raise_error(F.format_string("%d rows, more than %d", n, F.lit(most))))
+
+
 def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast hint when a table has at most ``most`` rows, else the table as it is.
 
