@@ -60,6 +60,46 @@ def test_large_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in nd.classes(df, 2, 0.8).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_star_family(spark):
+    """Copies alike to their original only: each is found through it, far beyond a block."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 3000):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 3), 15):
+            w[at] = f"z{rng.randrange(10 ** 9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = [shingles(t, 2) for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets)
+    assert sum(100 * len(x & y) >= 80 * len(x | y) for x, y in zip(sets[1::2], sets[2::2])) < 20
+    assert {r.component_id for r in nd.classes(df, 2, 0.8).collect()} == {0}
+
+
+def test_template_family(spark):
+    """Pages of one template, below the threshold, with near copies among them."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(240)]
+    rows = []
+    for i in range(1200):
+        rows.append((i, base + [f"p{i}x{j}" for j in range(36)]))
+    for i in range(0, 1200, 12):
+        w = list(rows[i][1])
+        for _ in range(8):
+            w[rng.randrange(240)] = f"z{rng.randrange(10 ** 9)}"
+        rows.append((2000 + i, w))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = brute(rows, 2)
+    assert len({c for _, c in want.values()}) == 1200
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 2, 0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_columns_and_empty(odd, empty):
     out = nd.deduplicated(odd)
     assert out.columns == odd.columns

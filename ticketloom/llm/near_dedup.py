@@ -7,9 +7,12 @@ goes to the child of its minwise token under each. Records of similarity s stay
 with probability s at each step; with 1.25 children a node, a pair at 0.8 meets at a
 given leaf level once per tree on average. Nodes of few records are compared
 exhaustively by sketches; larger ones branch again. A node that is still large after the
-last level, or that keeps most of its parent's records, is dealt into small blocks, and every record of it is compared with the
-node's pivot, so groups of thousands of near copies are tied together without all their
-pairs. ``TREES`` trees find a pair at the threshold with probability above 0.998.
+last level, or that keeps most of its parent's records, is dense. It is dealt into small
+blocks, and every record of it is compared with the node's pivot: this ties most near
+copies together without all their pairs. What is not tied by confirmed links then is
+compared on the full sets, all pairs: the dense nodes that share records are one family,
+whose blocks are joined pairwise across tasks. ``TREES`` trees find a pair at the
+threshold with probability above 0.998.
 
 Candidate pairs are confirmed on the full sets: first the best partner and the likely
 partner of smallest id of each record, then every pair that still joins two components. Pairs inside a component cannot change
@@ -49,6 +52,9 @@ SKETCH_MARGIN = 0.22
 SURE = 0.92
 #: Share of equal bytes from which the partner of smallest id is confirmed first, too.
 LIKELY = 0.84
+#: Records, and bytes of sets, of one block of a family of dense nodes.
+FAMILY_BLOCK = 512
+FAMILY_BYTES = 16_000_000
 SEED = 11
 _CACHE_WORDS = 400_000
 
@@ -250,8 +256,9 @@ def _pivots(similarity: float):
     return run
 
 
-def candidates(first: DataFrame, records: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a < b with the number of equal sketch bytes, from all trees and levels.
+def candidates(first: DataFrame, records: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs a < b with the number of equal sketch bytes, from all trees and levels; and
+    rows id, chief of the dense nodes, if there are any.
 
     ``first`` holds id, n, sig of the records to pair; ``records`` is a written table in
     which the signatures of those that branch further are looked up. Counts are combined before the shuffle; the joins by
@@ -259,7 +266,7 @@ def candidates(first: DataFrame, records: DataFrame, similarity: float) -> DataF
     """
     spark = records.sparkSession
     rows = first.select("id", "n", "sig").mapInArrow(_first_nodes, _NODE)
-    pairs, level = [], FIRST_LEVELS
+    pairs, dense_nodes, level = [], [], FIRST_LEVELS
     while True:
         draw = F.xxhash64("id", "path")
         nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("pivot")).where("size > 1")
@@ -274,6 +281,7 @@ def candidates(first: DataFrame, records: DataFrame, similarity: float) -> DataF
                 F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("path"), "id", "n", "sketch"))
             chief = last.where(draw == F.col("pivot")).select("path", F.col("id").alias("chief"), F.col("sketch").alias("mark"))
             star = last.join(chief, "path").where("id <> chief").select("id", "chief", "sketch", "mark")
+            dense_nodes.append(star.select("id", "chief"))
             pairs.append(star.mapInArrow(_pivots(similarity), _PAIR))
         pairs.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaves(similarity), _PAIR))
         ids = written(wide.select("id").distinct(), scratch_path(spark, "wide"))
@@ -283,7 +291,107 @@ def candidates(first: DataFrame, records: DataFrame, similarity: float) -> DataF
         rows = wide.select("tree", "path", "id", "n", "size").join(some, "id").select(
             "tree", "path", "id", "n", "size", "sig").mapInArrow(_next_nodes(level), _NODE)
         level += 1
-    return reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    dense = reduce(DataFrame.union, dense_nodes).distinct() if dense_nodes else None
+    return reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("equal").alias("equal")), dense
+
+
+def _both(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets, exact."""
+    token, at = np.unique(np.concatenate(x + y), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    left = row < len(x)
+    shared = np.zeros(len(token), bool)
+    shared[at[left]] = True
+    other = np.zeros(len(token), bool)
+    other[at[~left]] = True
+    shared &= other
+    keep = shared[at]
+    row, at = row[keep], (np.cumsum(shared) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(at, (start, start + 4096))
+        bits = np.zeros((len(x) + len(y), 4096), np.float32)
+        bits[row[a:b], at[a:b] - start] = 1
+        out += (bits[:len(x)] @ bits[len(x):].T).astype(np.int64)
+    return out
+
+
+def _family_links(similarity: float):
+    """Links of one pair of blocks of a family: confirmed pairs, as a forest over the labels."""
+    percent = round(similarity * 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label = table["id"].to_numpy(), table["label"].to_numpy()
+        side = table["side"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+        # A block paired with itself comes once, as side 0.
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1) if (side == 1).any() else x
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(x) or table["i"][0] != table["j"][0] and y is x:
+            return none
+        both = _both([sets[k] for k in x], [sets[k] for k in y])
+        n = np.array([len(s) for s in sets])
+        i, j = np.nonzero((100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (label[x][:, None] != label[y][None, :]))
+        if not len(i):
+            return none
+        i, j = x[i], y[j]
+        _, first = np.unique(np.sort(np.stack([label[i], label[j]]), axis=0), axis=1, return_index=True)
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        keep = []
+        for k in first.tolist():
+            p, q = root(int(label[i[k]])), root(int(label[j[k]]))
+            if p != q:
+                parent[p] = q
+                keep.append(k)
+        a, b = ids[i[keep]], ids[j[keep]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    return run
+
+
+def dense_links(dense: DataFrame, own: DataFrame, label: DataFrame, plain: DataFrame, k: int, similarity: float) -> DataFrame | None:
+    """Confirmed links a, b between different labels inside the families of dense nodes.
+
+    Dense nodes that share records are one family, compared once. The records of its most
+    frequent label are tied already: they meet only the others, never each other. A family
+    of one label is left out. None: nothing is open.
+    """
+    spark = plain.sparkSession
+    family = components(dense, "id", "chief").select("id", F.col("label").alias("family"))
+    size = own.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "id")
+    member = written(family.join(label, "id", "left").join(size, "id").select(
+        "id", "family", "n", F.coalesce("label", "id").alias("label")), scratch_path(spark, "members"))
+    part = member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    most = part.groupBy("family").agg(F.max(F.struct("m", "label", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n")).where("m > top.m")
+    blocks = lambda m, n: F.greatest(F.ceil(m / FAMILY_BLOCK), F.ceil(n * 8 / FAMILY_BYTES)).cast("int")
+    most = written(most.select("family", F.col("top.label").alias("top"), blocks(F.col("top.m"), F.col("top.n")).alias("tops"),
+                               blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("rests")), scratch_path(spark, "families"))
+    if not most.limit(1).count():
+        return None
+    # Blocks 0 to rests - 1 hold the others, the next ones the most frequent label.
+    mine = F.when(F.col("label") == F.col("top"), F.col("rests") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(
+        F.pmod(F.xxhash64("id"), F.col("rests"))).cast("int")
+    placed = member.join(small_side(most), "family").select("id", "family", "label", "tops", "rests", mine.alias("block"))
+    placed = written(placed, scratch_path(spark, "placed"))
+    wanted = small_side(placed.select("id"))
+    sets = plain.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(
+        _sets(k), "id bigint, set binary").dropDuplicates(["id"])
+    # With every other block, with itself if it is not of the most frequent label.
+    last = F.when(F.col("block") < F.col("rests"), F.col("rests") + F.col("tops")).otherwise(F.col("rests")) - 1
+    dealt = placed.join(sets, "id").select("id", "family", "label", "set", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("id", "label", "set", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return written(dealt.groupBy("family", "i", "j").applyInArrow(_family_links(similarity), "a bigint, b bigint"),
+                   scratch_path(spark, "family-links"))
 
 
 def _sets(k: int):
@@ -321,7 +429,8 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     reps = own.where("doc_id = rep").select("doc_id").distinct()
     records = feats.where("n > 0").select(F.col("doc_id").alias("id"), "n", "sig")
     first = feats.where("n > 0").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "sig")
-    pairs = written(candidates(first, records, similarity), scratch_path(spark, "pairs"))
+    pairs, dense = candidates(first, records, similarity)
+    pairs = written(pairs, scratch_path(spark, "pairs"))
 
     sides = pairs.select(F.col("a").alias("id"), F.struct("equal", "a", "b").alias("p")).union(
         pairs.select(F.col("b").alias("id"), F.struct("equal", "a", "b").alias("p")))
@@ -343,7 +452,11 @@ def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     low, high = (label.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
     open_pairs = pairs.join(low, "a", "left").join(high, "b", "left").where(
         F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    label = components(links.union(confirm(open_pairs)))
+    links = links.union(confirm(open_pairs))
+    label = components(links)
+    more = dense_links(dense, own, label, plain, shingle, similarity) if dense is not None else None
+    if more is not None:
+        label = components(links.union(more))
     found = own.join(label, own["rep"] == label["id"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
