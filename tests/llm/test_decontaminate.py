@@ -32,6 +32,31 @@ def test_the_joins_agree(spark, monkeypatch):
     assert sorted(map(str, leaks(spark).collect())) == one
 
 
+def test_one_conflict_does_not_hide_a_copy(spark):
+    filler = "the quick team went along the old road and saw many green hills before they came back at last"
+    other = "our neighbours slept in a small tent near the lake because it rained so hard all through that night"
+    items = [(1, f"They paid 3 coins and later {filler} with 3 coins left in the box"),
+             (2, f"They lost 3 games and won 5 games while {other} and again"),
+             (3, " ".join(f"then Bob took one more step number{c} down to the river" for c in "abcdefghi"))]
+    docs = [(1, items[0][1].replace("3 coins left", "4 coins left")), (2, items[1][1].replace("3", "4").replace("5", "4")),
+            (3, items[2][1].replace("Bob", "Ann").replace("Ann took one more step numbere", "Rob took one more step numbere"))]
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark, docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    assert got[3, 3].leak == "reparameterised" and got[3, 3].n_slots == 1
+
+
+def test_names_numbers_and_capitals(spark):
+    items = [(1, "seen: Anna Berg, Carl Dahl, Eva Falk, Gus Holm, Ida Jung, Karl Lund, Mia Nord, Otto Palm"),
+             (2, "12 14 16 18 20 22 24 26 28 30"), (3, "13 15 17 19 21 23 25 27 29 31"),
+             (4, "what is the name of the small river that runs through the old town"), (5, "Anna Berg met Carl Dahl")]
+    docs = [(1, f"xx. {items[0][1]}. yy"), (2, f"a {items[1][1]} b"), (3, f"a {items[2][1]} b"), (4, items[3][1].upper()),
+            (5, items[3][1].title()), (6, "then anna berg met carl dahl"), (7, "12 15 16 19 20 23 24 27 28 31"),
+            (8, "seen: Ole Berg, Ulf Dahl, Per Falk, Jan Holm, Liv Jung, Tom Lund, Kim Nord, Leo Palm")]
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark, docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (6, 5)}
+    assert all(r.leak == "exact" for r in got.values()) and got[2, 2].n_items == 2 and got[1, 1].covered_words == 17
+
+
 def test_columns_and_empty(spark, odd, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

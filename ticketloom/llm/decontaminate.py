@@ -4,15 +4,19 @@ Texts become sequences of words in which numbers, names and units are typed
 placeholders: <num>, <name> (a capitalised word inside a sentence) and <unit> (a unit
 behind a number). Windows of eight template words of every document are joined by hash
 to the windows of the benchmark. Where they meet, the values in the slots are compared:
-an item's value must always stand for one value of the document and the other way
-round, else the match is a coincidence of templates. A document leaks an item if its
-consistent matches cover enough of the item; the leak is ``exact`` where all slots are
-equal and ``reparameterised`` where values were exchanged.
+an item's value must stand for one value of the document and the other way round. Where
+values conflict, the value met in more than half of the places of the other one stands,
+and windows with any other pair are a coincidence of templates. Windows of equal words
+always count; they are also joined by the words themselves, in lower case, so passages
+of names and numbers and copies in capitals are found. A document leaks an item if its
+matches cover enough of the item; the leak is ``exact`` where all slots are equal and
+``reparameterised`` where values were exchanged.
 
 Items of equal template are one class, matched once and reported by their smallest
 item_id and their number. Items of five to seven words are one window of their own
-length; shorter items, and windows with fewer than five (for items below eight words:
-three) plain words, hold too little to be told from chance. Null texts match nothing.
+length; shorter items hold too little to be told from chance. Windows with fewer than
+five (for items below eight words: three) plain words are matched by their words only,
+not by their template. Null texts match nothing.
 Documents with a null doc_id cannot be told apart and are judged together.
 """
 
@@ -22,7 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketloom.llm.common import pinned, scratch_path, small_side, without, written
+from ticketloom.llm.common import let, pinned, scratch_path, small_side, without, written
 
 WINDOW = 8
 LEAST_WINDOW = 5
@@ -60,33 +64,37 @@ def _template(words: Column) -> Column:
 
 
 def _sequences(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, w (words as they are), c (template words); both arrays have one length."""
+    """key, w (words as they are), c (template words), x (words in lower case); arrays of one length."""
     base = pinned(rows.select(F.col(key), text.alias("__text")), key, plain=_plain_words(F.col("__text")))
     none = F.array().cast("array<string>")
     cut = lambda s: F.when(s == "", none).otherwise(F.split(s, " ", -1))
-    return pinned(base, key, w=cut(F.col("plain")), c=cut(_template(F.col("plain"))))
+    exact = F.lower(F.translate("plain", _MARK, ""))
+    return pinned(base, key, w=cut(F.col("plain")), c=cut(_template(F.col("plain"))), x=cut(exact))
 
 
 def _windows(seq: DataFrame, size: int, *keep: str) -> DataFrame:
-    """One row per window: its place, hash and words."""
-    at = seq.where(F.size("c") >= size).select(
-        *keep, "w", "c", F.explode(F.sequence(F.lit(0), F.size("c") - size)).alias("at"))
-    return at.select(*keep, "at", F.lit(size).alias("width"),
-                     F.xxhash64(*(F.get("c", F.col("at") + j) for j in range(size))).alias("hash"),
-                     F.slice("w", F.col("at") + 1, size).alias("words"),
-                     F.slice("c", F.col("at") + 1, size).alias("template"))
+    """Two rows per window, by its template and by its own words: place, hash, the words hashed, the words as they are."""
+    rows = seq.where(F.size("c") >= size).select(
+        *keep, "w", "c", "x", F.explode(F.sequence(F.lit(0), (F.size("c") - size) * 2 + 1)).alias("p"))
+    at = rows.select(*keep, "w", "c", "x", F.floor(F.col("p") / 2).cast("int").alias("at"), (F.col("p") % 2 == 1).alias("exact"))
+    hashed = lambda a, kind: F.xxhash64(F.lit(kind), *(F.get(a, F.col("at") + j) for j in range(size)))
+    cut = lambda a: F.slice(a, F.col("at") + 1, size)
+    either = lambda x, y: F.when(F.col("exact"), x).otherwise(y)
+    return at.select(*keep, "at", "exact", either(hashed("x", 1), hashed("c", 0)).alias("hash"),
+                     either(cut("x"), cut("c")).alias("own"), either(cut("x"), cut("w")).alias("words"), cut("c").alias("template"))
 
 
 def benchmark_classes(benchmark: DataFrame) -> DataFrame:
-    """One row per template: item_id, n_items, w, c, n."""
+    """One row per template: item_id, n_items, w, c, n, and the different texts of its items in lower case."""
     seq = _sequences(benchmark, "item_id", F.col("text"))
-    first = seq.select("w", "c", F.struct("item_id", "w").alias("item"), F.col("item_id"))
-    return first.groupBy("c").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n_items")).select(
-        "item.item_id", "n_items", "item.w", "c", F.size("c").alias("n")).where(F.col("n") >= LEAST_WINDOW)
+    first = seq.select("w", "c", "x", F.struct("item_id", "w").alias("item"))
+    by_text = first.groupBy("c", "x").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n_items"))
+    return by_text.groupBy("c").agg(F.min("item").alias("item"), F.sum("n_items").alias("n_items"), F.collect_list("x").alias("texts")).select(
+        "item.item_id", "n_items", "item.w", "c", F.size("c").alias("n"), "texts").where(F.col("n") >= LEAST_WINDOW)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Matched windows: doc_id, item_id, n_items, n, place in the item, shift, slot pairs."""
+    """Matched windows: doc_id, item_id, n_items, n, place in the item, shift, slots (place, item, doc)."""
     spark = docs.sparkSession
     items = written(benchmark_classes(benchmark), scratch_path(spark, "benchmark"))
     literal = F.size(F.filter("template", lambda x: ~x.startswith("<")))
@@ -98,13 +106,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for size in sizes:
         some = items.where(F.least("n", F.lit(WINDOW)) == size)
         least = 5 if size == WINDOW else 3
-        index = written(_windows(some, size, "item_id", "n_items", "n").where(literal >= least), scratch_path(spark, "windows"))
-        index = small_side(index.select("hash", "item_id", "n_items", "n", F.col("at").alias("place"), F.col("words").alias("item_words"),
-                                        "template", F.col("width").alias("size")))
-        mine = _windows(seq, size, "doc_id").select("doc_id", "at", "hash", "words", F.col("template").alias("own"))
-        met = mine.join(index, "hash").where(F.col("own") == F.col("template"))
-        slots = F.transform(F.filter(F.arrays_zip("template", "item_words", "words"), lambda x: x["template"].startswith("<")),
-                            lambda x: F.struct(F.lower(x["item_words"]).alias("item"), F.lower(x["words"]).alias("doc")))
+        by_template = _windows(some.withColumn("x", F.col("w")), size, "item_id", "n_items", "n").where(~F.col("exact") & (literal >= least))
+        by_words = _windows(some.select("item_id", "n_items", "n", "w", "c", F.explode("texts").alias("x")),
+                            size, "item_id", "n_items", "n").where("exact")
+        index = written(by_template.union(by_words), scratch_path(spark, "windows"))
+        index = small_side(index.select("hash", "exact", "item_id", "n_items", "n", F.col("at").alias("place"), F.lit(size).alias("size"),
+                                        F.col("own").alias("key"), F.col("words").alias("item_words"), "template"))
+        mine = _windows(seq, size, "doc_id").select("doc_id", "at", "exact", "hash", "words", "own")
+        met = mine.join(index, ["hash", "exact"]).where(F.col("own") == F.col("key"))
+        zipped = F.transform(F.arrays_zip("template", "item_words", "words"), lambda x, i: F.struct(
+            x["template"].alias("template"), (F.col("place") + i).alias("place"),
+            F.lower(x["item_words"]).alias("item"), F.lower(x["words"]).alias("doc")))
+        slots = F.transform(F.filter(zipped, lambda x: x["template"].startswith("<")), lambda x: F.struct(x["place"], x["item"], x["doc"]))
         out.append(met.select("doc_id", "item_id", "n_items", "n", "place", "size",
                               (F.col("at") - F.col("place")).alias("shift"), slots.alias("slots")))
     return reduce(DataFrame.union, out)
@@ -114,12 +127,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leaking document and item class."""
     found = matches(docs, benchmark)
     lined = found.groupBy("doc_id", "item_id", "n_items", "n", "size", "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+        F.collect_set(F.struct("place", "slots")).alias("windows"))
+    pair = lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc"))
+    every = F.array_distinct(F.flatten(F.transform("windows", lambda x: x["slots"])))
+    lined = pinned(lined, "doc_id", "item_id", "n_items", "n", "size", "windows", all=every,
+                   pairs=F.array_distinct(F.transform(every, pair)))
     side = lambda s, k: F.size(F.array_distinct(F.transform(s, lambda x: x[k])))
-    consistent = (side(F.col("slots"), "item") == F.size("slots")) & (side(F.col("slots"), "doc") == F.size("slots"))
-    kept = lined.where(consistent).groupBy("doc_id", "item_id", "n_items", "n", "size").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    consistent = (side(F.col("pairs"), "item") == F.size("pairs")) & (side(F.col("pairs"), "doc") == F.size("pairs"))
+    places = lambda test: F.size(F.array_distinct(F.transform(F.filter("all", test), lambda x: x["place"])))
+    most = F.filter("pairs", lambda p: let(
+        places(lambda x: (x["item"] == p["item"]) & (x["doc"] == p["doc"])),
+        lambda own: (2 * own > places(lambda x: x["item"] == p["item"])) & (2 * own > places(lambda x: x["doc"] == p["doc"]))))
+    lined = pinned(lined, "doc_id", "item_id", "n_items", "n", "size", "windows",
+                   right=F.when(consistent, F.col("pairs")).otherwise(most))
+    good = F.filter("windows", lambda x: F.forall(x["slots"], lambda y: y["item"] == y["doc"])
+                    | F.forall(x["slots"], lambda y: F.array_contains("right", pair(y))))
+    kept = pinned(lined, "doc_id", "item_id", "n_items", "n", "size", windows=good).where(F.size("windows") > 0).groupBy(
+        "doc_id", "item_id", "n_items", "n", "size").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    kept = pinned(kept, "doc_id", "item_id", "n_items", "n", "size",
+                  places=F.array_sort(F.array_distinct(F.transform("windows", lambda x: x["place"]))),
+                  slots=F.array_distinct(F.transform(F.flatten(F.transform("windows", lambda x: x["slots"])), pair)))
     covered = F.aggregate(F.transform("places", lambda p, i: F.when(i == 0, F.col("size")).otherwise(
         F.least("size", p - F.get("places", i - 1)))), F.lit(0), lambda a, x: a + x)
     need = F.least(F.lit(COVER_WORDS), F.ceil(F.col("n") * COVER_SHARE))
