@@ -40,6 +40,32 @@ def test_equal_values_stay_linked(spark):
     assert digits(a)[1:] == digits(b)
 
 
+def test_plain_phones_and_other_dates(spark):
+    import datetime
+
+    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+    digits = lambda s: [c for c in s if c.isdigit()]
+    phones = ["415-555-2671", "415.555.2671", "415 555 2671", "1-415-555-2671", "+1 (415) 555-2671"]
+    row = found(spark, "call " + " or ".join(phones) + ".")
+    assert [(v["kind"], v["found"]) for v in row["values"]] == [("phone", x) for x in phones]
+    assert [shape(v["put"]) for v in row["values"]] == [shape(x) for x in phones]
+    assert len({tuple(digits(v["put"])[-10:]) for v in row["values"]}) == 1 and "555" not in row.text
+    dates = ["2024/01/31", "31.01.2024", "2024.01.31", "31-01-2024", "31/01/2024", "2024-01-31"]
+    row = found(spark, " or ".join(dates) + ".")
+    assert [(v["kind"], v["found"]) for v in row["values"]] == [("date", x) for x in dates]
+    assert [shape(v["put"]) for v in row["values"]] == [shape(x) for x in dates]
+    assert len({frozenset(v["put"].replace("/", "-").replace(".", "-").split("-")) for v in row["values"]}) == 1
+    got = {}
+    for t in [f"{m}/{d}/2024" for m in (1, 7, 12) for d in (13, 20, 31)] + ["12.31.2024", "01-31-2024"]:
+        put = found(spark, t)["text"]
+        m, d, y = (int(x) for x in put.replace(".", "/").replace("-", "/").split("/"))
+        assert put != t and d > 12 and datetime.date(y, m, d)
+        got[t] = (m, d, y)
+    assert got["12/31/2024"] == got["12.31.2024"] and len(set(got.values())) == 9
+    for t in ("115-555-2671", "415-155-2671", "415-555-26711", "12-415-555-2671", "13/31/2024", "2024/13/01", "30.02.2024", "1.31.01.2024"):
+        assert found(spark, t).text == t
+
+
 def test_invalid_values_stay(spark):
     for t in ("4041894974608796", "000-45-6789", "666-45-6789", "2023-02-29", "31/13/2024", "1.2.3.4.5", "300.1.1.1", "v3.1 and 12", "a@b", "1234567"):
         assert found(spark, t).text == t

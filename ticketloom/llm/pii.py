@@ -6,11 +6,14 @@ SHA-256, so equal values get equal pseudonyms in all documents, and different va
 different ones. Separators stay where they are and do not change the pseudonym.
 
 * card numbers: the digits permuted, the Luhn digit computed anew;
-* North American phone numbers: area and exchange keep a first digit of 2 to 9;
+* North American phone numbers, with +1, an area code in parentheses, or separated as
+  415-555-2671 with or without a leading 1: area and exchange keep a first digit of 2 to 9;
 * social security numbers: permuted among the valid ones;
 * IPv4 addresses: permuted among all addresses;
-* dates from 1900 to 2099, as 2024-01-31 or 31/1/2024: permuted among the days of that
-  span, written in the form found;
+* dates from 1900 to 2099, year first or day first, with hyphens, strokes or full stops:
+  permuted among the days of that span, written in the form found. A date is read month
+  first only where it cannot be day first (12/31/2024); it is permuted among such dates,
+  so its pseudonym is read the same way;
 * mail addresses: letters and digits before the last full stop keep their kind;
 * access keys, and values behind password, secret, token or api key: letters and digits
   keep their kind.
@@ -39,9 +42,11 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+1[ .-]?\(?[2-9][0-9]{2}\)?|\([2-9][0-9]{2}\))[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?\(?[2-9][0-9]{2}\)?|\([2-9][0-9]{2}\))[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
+             r"|(?<![0-9+]|[0-9][.-])(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|[.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9/-]|[0-9]\.)(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}"
+            r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9/-]|\.[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?i:password|passwd|secret|token|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z+/_-]{8,}",
@@ -128,7 +133,7 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    country = F.when(value.startswith("+1"), F.lit("+1")).otherwise(F.lit(""))
+    country = F.regexp_extract(value, "^[+]?1", 0)
     alphabets = F.array(*(F.lit(DIGITS[2:] if i in (0, 3) else DIGITS) for i in range(10)))
     return let(F.substr(value, F.length(country) + 1), lambda rest: F.concat(
         country, _refilled(rest, feistel_characters(_plain(rest), alphabets, key))))
@@ -163,14 +168,28 @@ def permuted_day(day: Column, key: str = KEY) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    iso = value.contains("-")
-    p = lambda i: F.get(F.split(value, "[/-]"), F.lit(i)).try_cast("int")
-    year, month, day = F.when(iso, p(0)).otherwise(p(2)), p(1), F.when(iso, p(2)).otherwise(p(0))
+    sign = F.regexp_extract(value, "[/.-]", 0)
+    p = lambda i: F.get(F.split(value, "[/.-]"), F.lit(i)).try_cast("int")
+    first = F.length(F.get(F.split(value, "[/.-]"), F.lit(0))) == 4
+    month_first = ~first & (p(0) <= 12) & (p(1) > 12)
+    year, month = F.when(first, p(0)).otherwise(p(2)), F.when(month_first, p(0)).otherwise(p(1))
+    day = F.when(first, p(2)).when(month_first, p(1)).otherwise(p(0))
     found = F.when(year.between(1900, 2099), F.to_date(F.try_to_timestamp(
         F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))))
-    new = F.date_from_unix_date(permuted_day(F.unix_date(found).cast("bigint"), key).cast("int"))
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "d/M/yyyy"))
-    return F.coalesce(F.when(found.isNotNull(), text), value)
+    past = lambda d: F.dayofmonth(F.date_from_unix_date(d.cast("int"))) > 12
+    once = permuted_day(F.unix_date(found).cast("bigint"), key)
+    # Walks the cycle until the date cannot be day first either.
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(80)), once, lambda d, _: F.when(past(d), d).otherwise(permuted_day(d, key)))
+    new = F.date_from_unix_date(F.when(month_first, walked).otherwise(once).cast("int"))
+    wide = F.length(value) == 10
+
+    def written_as(d: Column) -> Column:
+        one = lambda x: F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+        y, m, n = F.lpad(F.year(d).cast("string"), 4, "0"), one(F.month(d)), one(F.dayofmonth(d))
+        return F.when(first, F.concat(y, sign, m, sign, n)).when(month_first, F.concat(m, sign, n, sign, y)).otherwise(
+            F.concat(n, sign, m, sign, y))
+
+    return F.coalesce(F.when(found.isNotNull(), let(new, written_as)), value)
 
 
 def _email(value: Column, key: str) -> Column:
