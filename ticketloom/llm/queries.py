@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import decontaminate, near_dedup, packing, pii, quality, sharding, suffix_dedup, token_files, toxicity, warc
+from ticketloom.llm import (
+    decontaminate, near_dedup, packing, periodic_runs, pii, quality, sharding, suffix_dedup, token_files, toxicity, warc)
 from ticketloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,8 @@ def op9_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op13_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
