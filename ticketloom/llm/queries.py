@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.llm import (
-    decontaminate, near_dedup, packing, periodic_runs, pii, quality, sharding, suffix_dedup, token_files, toxicity, warc)
+    bin_completion, decontaminate, merkle, near_dedup, packing, periodic_runs, pii, quality, sharding, suffix_dedup, token_files, toxicity, warc)
 from ticketloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,16 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack_digest(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
