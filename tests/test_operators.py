@@ -205,15 +205,6 @@ def test_merge_profile_averages_centres(spark):
     assert row["center"] == [2.0, 4.0] and row["top_words"] == ["a", "b"]
 
 
-def test_merge_refuses_many_categories(spark):
-    df = spark.range(60).select(F.col("id").cast("int").alias("cluster"), F.array(F.lit("a")).alias("top_words"),
-                                F.array(F.lit("b")).alias("top_causes"), F.lit(1).cast("long").alias("num_incidencias"),
-                                F.lit(1.0).alias("avg_text_length"), F.lit(True).alias("has_technical_terms"),
-                                F.lit(0).cast("long").alias("urgency_indicators"))
-    with pytest.raises(ValueError):
-        mg.merge_categories(df)
-
-
 # -- summaries and monitoring -----------------------------------------------------------------
 
 @pytest.mark.parametrize("c,band", [(0.81, "alta_confianza"), (0.8, "media_confianza"),

@@ -3,84 +3,170 @@
 The merge is sequential by nature: each round changes the table the next one looks at.
 It runs over category summaries (words, causes, flags), never over tickets; its result
 is a map from old to new cluster that is joined back to the tickets.
+
+One implementation scores pairs, ``Summaries.scores``: the table of pairs asks for it row by
+row in tasks, the merge on the driver.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, functions as F
 
-from ticketloom.operators.ranking import MOST_IN_A_ROW as MOST_CATEGORIES, bounded_list, broadcast_if_small, ranked_list, top_n
+from ticketloom.operators.ranking import MOST_IN_A_ROW as MOST_CATEGORIES, broadcast_if_small, ranked_list, top_n
 
 FIELDS = ("cluster", "top_words", "top_causes", "num_incidencias", "avg_text_length",
           "has_technical_terms", "urgency_indicators")
-
-
-def _jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+WORDS, CAUSES = 8, 3
+
+
+class _Sets:
+    """A set of names for each category, as rows of numbers; 0 fills what a row has left."""
+
+    def __init__(self, lists: Sequence[Sequence[str]], least: int):
+        self.number: dict[str, int] = {}
+        for names in lists:
+            for name in names:
+                self.number.setdefault(name, len(self.number) + 1)
+        self.rows = np.zeros((len(lists), max([least, *(len(set(x)) for x in lists)])), np.int32)
+        self.sizes = np.zeros(len(lists), np.int32)
+        self.marked = np.zeros(len(self.number) + 1, bool)
+        for i, names in enumerate(lists):
+            self.put(i, names)
+
+    def put(self, i: int, names: Sequence[str]) -> None:
+        mine = {self.number[x] for x in names}
+        self.rows[i] = 0
+        self.rows[i, :len(mine)] = sorted(mine)
+        self.sizes[i] = len(mine)
+
+    def overlap(self, i: int) -> np.ndarray:
+        """Share of common names of category i and each other one (0 where both have none)."""
+        mine = self.rows[i, :self.sizes[i]]
+        self.marked[mine] = True
+        both = self.marked[self.rows].sum(axis=1)
+        self.marked[mine] = False
+        either = self.sizes + self.sizes[i] - both
+        return both / np.maximum(either, 1)
+
+
+class Summaries:
+    """Category summaries in order of their clusters; a merge changes them in place."""
+
+    def __init__(self, rows: Sequence[Row]):
+        rows = sorted(rows, key=lambda r: r["cluster"])
+        self.clusters = [r["cluster"] for r in rows]
+        self.words = [tuple(r["top_words"] or ()) for r in rows]
+        self.causes = [tuple(r["top_causes"] or ()) for r in rows]
+        self.tickets = [r["num_incidencias"] for r in rows]
+        self.length = [r["avg_text_length"] for r in rows]
+        self.technical = np.array([r["has_technical_terms"] for r in rows], bool)
+        self.urgency = np.array([r["urgency_indicators"] for r in rows], np.int64)
+        self.word_sets, self.cause_sets = _Sets(self.words, WORDS), _Sets(self.causes, CAUSES)
+
+    def scores(self, i: int) -> np.ndarray:
+        """Similarity of category i and each other one.
+
+        0.4 words and 0.4 causes (Jaccard), 0.2 features: half for the same technical
+        flag, half for urgency counts within one of each other.
+        """
+        same = 0.5 * (self.technical == self.technical[i])
+        near = 0.5 * (np.abs(self.urgency - self.urgency[i]) <= 1)
+        return 0.4 * self.word_sets.overlap(i) + 0.4 * self.cause_sets.overlap(i) + 0.2 * (same + near)
+
+    def join(self, keep: int, drop: int) -> None:
+        """Most frequent words and causes of both lists, first seen first on ties; sums of the counts."""
+        self.words[keep] = tuple(w for w, _ in Counter(self.words[keep] + self.words[drop]).most_common(WORDS))
+        self.causes[keep] = tuple(c for c, _ in Counter(self.causes[keep] + self.causes[drop]).most_common(CAUSES))
+        self.word_sets.put(keep, self.words[keep])
+        self.cause_sets.put(keep, self.causes[keep])
+        self.tickets[keep] += self.tickets[drop]
+        self.length[keep] = (self.length[keep] + self.length[drop]) / 2
+        self.technical[keep] |= self.technical[drop]
+        self.urgency[keep] += self.urgency[drop]
+
+
+def _summaries(categories: DataFrame, most: int) -> Summaries:
+    """The summaries on the driver; more than ``most`` are an error."""
+    rows = categories.select(*FIELDS).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} categories")
+    return Summaries(rows)
 
 
 def category_similarity(categories: DataFrame, most: int = MOST_CATEGORIES) -> DataFrame:
     """Similarity of each pair of categories: (a, b, similarity), a < b.
 
-    0.4 words and 0.4 causes (Jaccard), 0.2 features: half for the same technical
-    flag, half for urgency counts within one of each other.  Every category carries
-    the list of later ones as a bounded array, so no join is needed.
+    Tasks take the categories one by one and score each against all later ones, which come as
+    one bounded table of numbers: nothing is joined, and no row carries the others.
     """
-    fields = F.struct("cluster", "top_words", "top_causes", "has_technical_terms", "urgency_indicators")
-    every = categories.agg(bounded_list(fields, most).alias("all"))
-    later = F.filter("_all", lambda o: o["cluster"] > F.col("cluster"))
-    pairs = (
-        categories.withColumn("_all", every.scalar())
-        .withColumn("o", F.explode(later)).drop("_all")
-    )
-    features = (
-        (F.col("has_technical_terms") == F.col("o.has_technical_terms")).cast("double") * 0.5
-        + (F.abs(F.col("urgency_indicators") - F.col("o.urgency_indicators")) <= 1).cast("double") * 0.5
-    )
-    score = (
-        _jaccard(F.col("top_words"), F.col("o.top_words")) * 0.4
-        + _jaccard(F.col("top_causes"), F.col("o.top_causes")) * 0.4
-        + features * 0.2
-    )
-    return pairs.select(
-        F.col("cluster").alias("a"), F.col("o.cluster").alias("b"), score.alias("similarity")
-    )
+    table = _summaries(categories, most)
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clusters = np.array(table.clusters)
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                later = clusters[i + 1:]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(later), clusters[i])), pa.array(later), pa.array(table.scores(i)[i + 1:])],
+                    names=["a", "b", "similarity"])
 
-@dataclass(frozen=True)
-class Category:
-    """Summary of a category during the merge."""
-
-    words: tuple[str, ...]
-    causes: tuple[str, ...]
-    size: int
-    length: float
-    technical: bool
-    urgency: int
-
-    def similarity(self, other: Category) -> float:
-        def overlap(x, y):
-            return len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
-
-        features = 0.5 * (self.technical == other.technical)
-        features += 0.5 * (abs(self.urgency - other.urgency) <= 1)
-        return 0.4 * overlap(self.words, other.words) + 0.4 * overlap(self.causes, other.causes) + 0.2 * features
-
-    def joined(self, other: Category) -> Category:
-        """Most frequent words and causes of both lists, first seen first on ties."""
-        return Category(
-            words=tuple(w for w, _ in Counter(self.words + other.words).most_common(8)),
-            causes=tuple(c for c, _ in Counter(self.causes + other.causes).most_common(3)),
-            size=self.size + other.size,
-            length=(self.length + other.length) / 2,
-            technical=self.technical or other.technical,
-            urgency=self.urgency + other.urgency,
-        )
+    ids = categories.sparkSession.range(len(table.clusters))
+    return ids.mapInArrow(pairs, "a long, b long, similarity double").select(
+        F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "similarity")
+
+
+def greedy_merge(table: Summaries, max_categories: int, min_similarity: float) -> list[int]:
+    """Merge the most similar pair until few enough remain; the place each category ends in.
+
+    Each category has one entry on a heap: its best partner among the later ones. After a merge
+    only pairs of the changed category are scored again. An entry whose partner went or changed
+    is an upper bound of what its category can reach, so it is put right when it comes up.
+    """
+    n = len(table.clusters)
+    alive, version, stamp = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    score, partner, parent = np.full(n, -1.0), np.zeros(n, np.int64), list(range(n))
+
+    def look(i: int, row: np.ndarray | None = None) -> tuple:
+        """The entry of category i: its first best partner behind it."""
+        later = np.where(alive[i + 1:], (table.scores(i) if row is None else row)[i + 1:], -1.0)
+        k = int(later.argmax()) if len(later) else -1
+        score[i], partner[i] = (later[k], i + 1 + k) if k >= 0 else (-1.0, i)
+        return entry(i)
+
+    def entry(i: int) -> tuple:
+        stamp[i] += 1
+        return -score[i], i, int(partner[i]), int(stamp[i]), int(version[partner[i]])
+
+    heap = [look(i) for i in range(n)]
+    heapify(heap)
+    left = n
+    while left > max_categories and heap:
+        cost, a, b, at, seen = heappop(heap)
+        if not alive[a] or at != stamp[a] or cost > 0:
+            continue
+        if not alive[b] or seen != version[b]:
+            heappush(heap, look(a))
+            continue
+        if -cost <= min_similarity:
+            break
+        table.join(a, b)
+        alive[b], parent[b], left = False, a, left - 1
+        version[a] += 1
+        row = table.scores(a)
+        heappush(heap, look(a, row))
+        better = (row[:a] > score[:a]) | ((row[:a] == score[:a]) & (a < partner[:a]))
+        for i in np.flatnonzero(better & alive[:a]).tolist():
+            score[i], partner[i] = row[i], a
+            heappush(heap, entry(i))
+    for i in range(n):
+        parent[i] = parent[parent[i]]  # a category only ever goes to an earlier one, which is settled
+    return parent
 
 
 def merge_categories(
@@ -92,32 +178,14 @@ def merge_categories(
     Returns the map (old, new) and the merged summaries.  Of equal pairs the first in
     order of the clusters is taken.
     """
-    rows = categories.select(*FIELDS).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} categories")
-    now = {
-        r["cluster"]: Category(
-            tuple(r["top_words"]), tuple(r["top_causes"]), r["num_incidencias"],
-            r["avg_text_length"], r["has_technical_terms"], r["urgency_indicators"],
-        )
-        for r in rows
-    }
-    target = {c: c for c in now}
-    while len(now) > max_categories:
-        best, pair = max(
-            ((now[a].similarity(now[b]), (a, b)) for a, b in combinations(sorted(now), 2)),
-            key=lambda x: x[0],
-        )
-        if best <= min_similarity:
-            break
-        keep, drop = pair
-        now[keep] = now[keep].joined(now.pop(drop))
-        target = {old: keep if new == drop else new for old, new in target.items()}
+    table = _summaries(categories, most)
+    parent = greedy_merge(table, max_categories, min_similarity)
+    name = table.clusters
     spark = categories.sparkSession
-    mapping = spark.createDataFrame(sorted(target.items()), "old int, new int")
+    mapping = spark.createDataFrame([(name[i], name[p]) for i, p in enumerate(parent)], "old int, new int")
     merged = spark.createDataFrame(
-        [(c, list(v.words), list(v.causes), v.size, v.length, v.technical, v.urgency)
-         for c, v in sorted(now.items())],
+        [(name[i], list(table.words[i]), list(table.causes[i]), table.tickets[i], table.length[i],
+          bool(table.technical[i]), int(table.urgency[i])) for i, p in enumerate(parent) if p == i],
         "cluster int, top_words array<string>, top_causes array<string>, num_incidencias long, "
         "avg_text_length double, has_technical_terms boolean, urgency_indicators long",
     )
