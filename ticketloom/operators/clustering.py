@@ -9,6 +9,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.config import Config
+from ticketloom.operators import kmeans as km
 from ticketloom.operators.ranking import bounded_list, MOST_IN_A_ROW, top_n
 
 
@@ -28,29 +29,26 @@ def initial_k(n: int, most: int = 30, min_size: int = 20) -> int:
 
 def fit_kmeans(
     features: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 300
-) -> KMeansModel:
-    """K-Means of least cost over several seeds.
+) -> KMeansModel | km.Start:
+    """K-Means of least cost over several seeds; the first of equals.
 
-    ``features`` is read once per iteration: pass a cached or written table.
+    One start is Spark's own estimator, which reads ``features`` once per iteration. Several
+    starts advance together, in as many readings as the slowest of them needs.
     """
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(features)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1]
+    if restarts == 1:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(features)
+    _, starts, _ = km.fit(features, [k], range(seed, seed + restarts), max_iter)
+    return min(starts, key=lambda s: s.cost)
 
 
 def sweep_k(
-    features: DataFrame, ks: Iterable[int], seed: int = 42, restarts: int = 1, max_iter: int = 300
+    features: DataFrame, ks: Iterable[int], seed: int = 42, restarts: int = 10, max_iter: int = 300
 ) -> DataFrame:
-    """Cost and silhouette for each k.  Costly, and its result is advice only."""
-    rows = []
-    for k in ks:
-        model = fit_kmeans(features, k, seed, restarts, max_iter)
-        rows.append((k, float(model.summary.trainingCost), silhouette(model.transform(features))))
-    return features.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    """Cost and silhouette of the best start for each k; all starts of all k share their readings."""
+    rows, starts, _ = km.fit(features, list(ks), range(seed, seed + restarts), max_iter)
+    best = [min(starts[i:i + restarts], key=lambda s: s.cost) for i in range(0, len(starts), restarts)]
+    table = [(k, float(s.cost), x) for k, s, x in zip(ks, best, km.silhouettes(rows, best))]
+    return features.sparkSession.createDataFrame(table, "k int, inertia double, silhouette double")
 
 
 def sweep_range(n: int, cfg: Config = Config()) -> range:
