@@ -42,7 +42,7 @@ CAPACITY = 2048
 GROUP_BYTES = 16 << 20
 PART_IDS = 24 << 20
 #: Text bytes tokenized at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Decisions of the search, besides one for each sequence; a completion by best fit counts as four.
 NODES = 240
 #: Fillings kept at a decision, those without waste among them, and places looked at for them.
@@ -253,12 +253,21 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
 
 
 def _binary(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """One binary value per stretch of 32-bit ids."""
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(ids)])
+    """One binary value per stretch of ids."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [
+        None, pa.py_buffer((ids.itemsize * edges).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def _wide(rows: pa.Table) -> pa.Table:
+    """Ids of 16 bits, as they travel, to 32."""
+    ids = rows.column("ids").combine_chunks()
+    edges = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset).astype(np.int64) // 2
+    flat = np.frombuffer(ids.buffers()[2], "<u2")[edges[0]:edges[-1]].astype("<u4")
+    return rows.set_column(rows.column_names.index("ids"), "ids", _binary(flat, edges - edges[0]))
 
 
 def _cutter(path: str | None, capacity: int):
-    """group, doc_id, text in; pieces with their ids (little-endian unsigned 32-bit) out."""
+    """group, doc_id, text in; pieces with their ids (little-endian unsigned 16-bit) out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_chunks(path)
         for batch in batches:
@@ -277,13 +286,13 @@ def _cutter(path: str | None, capacity: int):
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a).take(at), batch.column(1).slice(a, b - a).take(at), pa.array(piece, pa.int32()),
-                    pa.array(start), pa.array(length), _binary(ids.astype("<u4"), _offsets(length))], schema=_PIECES)
+                    pa.array(start), pa.array(length), _binary(ids.astype("<u2"), _offsets(length))], schema=_PIECES)
 
     return run
 
 
-def _packer(capacity: int, part_ids: int):
-    """Pieces in order of their group in; the same with sequence and place out."""
+def _packer(capacity: int, part_ids: int, wide: bool):
+    """Pieces in order of their group in; the same with sequence and place out, ids of 32 bits."""
     def packed(rows: pa.Table, group: int, first: int) -> tuple[pa.Table, int]:
         length = rows.column("length").to_numpy()
         by = np.argsort(length, kind="stable").tolist()
@@ -299,7 +308,7 @@ def _packer(capacity: int, part_ids: int):
                 offset.append(place)
                 filled.append(full)
                 place += n
-        rows = rows.take(pa.array(order, pa.int64()))
+        rows = (_wide(rows) if wide else rows).take(pa.array(order, pa.int64()))
         for name, values in (("sequence_id", sequence), ("offset", offset), ("filled", filled)):
             rows = rows.append_column(name, pa.array(values, pa.int64()))
         return rows, first + s + 1
@@ -333,11 +342,11 @@ def _packer(capacity: int, part_ids: int):
     return run
 
 
-def _in_groups(pieces: DataFrame, groups: int, capacity: int, part_ids: int) -> DataFrame:
+def _in_groups(pieces: DataFrame, groups: int, capacity: int, part_ids: int, wide: bool) -> DataFrame:
     """Groups go to tasks directly, two to a task: no task is dealt more by chance."""
     tasks = max(1, math.ceil(groups / 2))
-    return pieces.repartitionById(tasks, F.expr(f"cast(group div 2 as int)")).sortWithinPartitions(
-        "group", "doc_id", "start", "length", F.crc32("ids")).mapInArrow(_packer(capacity, part_ids), PACKED)
+    return pieces.repartitionById(tasks, F.expr("cast(group div 2 as int)")).sortWithinPartitions(
+        "group", "doc_id", "start", "length", F.crc32("ids")).mapInArrow(_packer(capacity, part_ids, wide), PACKED)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, group_bytes: int = GROUP_BYTES,
@@ -356,7 +365,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     pieces = dealt.mapInArrow(_cutter(vocabulary, capacity), PIECES)
     done, level = [], 0
     while True:
-        rows = _in_groups(pieces, groups, capacity, part_ids)
+        rows = _in_groups(pieces, groups, capacity, part_ids, level == 0)
         if groups == 1:
             done.append(rows.withColumn("level", F.lit(level)))
             break

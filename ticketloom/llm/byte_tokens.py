@@ -16,7 +16,9 @@ from ticketloom.llm.tokens import WordIds, _room, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks a worker keeps at most (about 150 bytes each).
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 300_000
+#: Chunks encoded behind each other at a time.
+RUN = 128
 
 
 def _string(key: bytes) -> bytes:
@@ -24,6 +26,13 @@ def _string(key: bytes) -> bytes:
     return key[1:] if key[:1] == b" " else key if key[:1] == b"\n" else b" " + key
 
 
+#: First bytes of a chunk behind its space that are white space, and those that may begin some.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_MAYBE = np.zeros(256, bool)
+_MAYBE[[10, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class ChunkIds(WordIds):
     """Chunk to number, with the ids of each chunk, and whether it goes on with the one before."""
 
@@ -35,27 +44,33 @@ class ChunkIds(WordIds):
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character for each byte
 
     def _learn(self) -> None:
-        """Encode the new chunks behind each other as one text, cut by the bytes of each id."""
+        """Encode the new chunks behind each other, and cut the ids by the bytes each stands for."""
         new, base = self.new, len(self) - len(self.new)
-        texts = [_string(k).decode("utf-8") for k in new]
-        first = np.array([k[:1] == b" " for k in new])
+        lead = np.frombuffer(b"".join([k[:1] or b"\t" for k in new]), np.uint8)
+        first, broken = lead == 32, lead == 10
         # a space or line break alone, or before more white space, belongs to the gap of the chunk before
-        joins = ~first & np.array([len(t) < 2 or t[1].isspace() for t in texts])
-        size, flat = np.zeros(len(new), np.int32), np.zeros(0, np.uint16)
-        at = np.flatnonzero(~first & ~joins)
-        order = [at]
-        if len(at):
-            run = [texts[k] for k in at]
-            flat = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, np.uint16)
-            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in run])
-            size[at] = np.diff(np.searchsorted(np.cumsum(self.bytes[flat]), ends, "right"), prepend=0)
+        joins = _BLANK[lead]
+        for k in np.flatnonzero(_MAYBE[lead]).tolist():
+            t = _string(new[k]).decode("utf-8")
+            joins[k] = len(t) < 2 or t[1].isspace()
+        size, flat = np.zeros(len(new), np.int32), [np.zeros(0, np.uint16)]
+        order = []
+        for at, gap in ((np.flatnonzero(~first & ~broken & ~joins), b" "), (np.flatnonzero(broken & ~joins), b"")):
+            order.append(at)
+            run = [new[k] for k in at.tolist()]
+            some = [(gap + gap.join(run[k:k + RUN])).decode("utf-8") for k in range(0, len(run), RUN)]
+            ids = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            if ids:
+                flat += ids
+                ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + len(gap))
+                size[at] = np.diff(np.searchsorted(np.cumsum(self.bytes[np.concatenate(ids)]), ends, "right"), prepend=0)
         at = np.flatnonzero(first)
         order.append(at)
-        if len(at):
-            ids = self._ids([texts[k] for k in at])
-            size[at] = [len(i) for i in ids]
-            flat = np.concatenate((flat, np.array([i for p in ids for i in p], np.uint16)))
-        order = np.concatenate(order)
+        for k in at.tolist():
+            ids = np.array(self._ids([_string(new[k]).decode("utf-8")])[0], np.uint16)
+            flat.append(ids)
+            size[k] = len(ids)
+        flat, order = np.concatenate(flat), np.concatenate(order)
         place = np.zeros(len(new), np.int64)
         place[order] = np.cumsum(size[order]) - size[order]
         self.flat = _room(self.flat, self.used + len(flat))
