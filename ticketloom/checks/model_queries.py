@@ -9,7 +9,7 @@ from ticketloom.checks.registry import query
 from ticketloom.checks.text_queries import PROCESSED_CTE, sql_word_tokens
 from ticketloom.functions import text as tx
 from ticketloom.operators import clustering as cl, evaluation as ev, features as ft
-from ticketloom.operators import model as md
+from ticketloom.operators import kmeans as km, model as md
 from ticketloom.sources.tickets import load_tickets
 
 K = "ticket_id"
@@ -122,32 +122,66 @@ def features(spark, sf, vocabulary_size=8000):
     return model.transform(t).select(K, "cluster", "features").cache()
 
 
-@query("h1_kmeans")
-def h1(spark, sf):
-    f = features(spark, sf)
-    model = cl.fit_kmeans(f, cl.choose_k(f.count()), restarts=1)
-    return model.transform(f).select(K, "prediction")
+_KSQL = ("select count(*) as n, case when least(50, count(*) // 20) < 2 then 2 else "
+         "least(case when count(*) > 3000 then 25 when count(*) > 1000 then 15 else 10 end, "
+         "least(50, count(*) // 20)) end as k, greatest(2, least(30, count(*) // 20)) as k0 "
+         "from documents")
 
 
-@query("h2_kmeans_restarts")
+@query("h1_kmeans", s.with_tickets(
+    f"select ticket_id, k, n as total, true as in_range, true as nearest from tickets, ({_KSQL})"))
+def h1(spark, sf):
+    """The production setting: every ticket has a cluster, sizes sum to all, no centre is nearer."""
+    f = features(spark, sf)
+    k = cl.choose_k(f.count())
+    model = cl.fit_kmeans(f, k)
+    pred = model.transform(f)
+    total = cl.cluster_sizes(pred).agg(F.sum("size").alias("n")).scalar()
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "c int, v array<double>")
+    flat = centres.select("c", F.posexplode("v").alias("i", "y")).where("y <> 0")
+    x = F.unwrap_udt("features")
+    entries = pred.select(K, F.inline(F.arrays_zip(x["indices"].alias("i"), x["values"].alias("x"))))
+    dots = entries.join(flat, "i").groupBy(K, "c").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    norms = flat.groupBy("c").agg(F.sum(F.col("y") * F.col("y")).alias("yy"))
+    far = dots.join(norms, "c").withColumn("d", F.col("yy") - 2 * F.col("xy"))
+    least = pred.select(K, "prediction").join(far, K).groupBy(K).agg(
+        F.min("d").alias("least"), F.min(F.when(F.col("c") == F.col("prediction"), F.col("d"))).alias("own"))
+    return pred.select(K, "prediction").join(least, K, "left").select(
+        K, F.lit(k).cast("long").alias("k"), total.alias("total"), F.col("prediction").between(0, k - 1).alias("in_range"),
+        F.coalesce(F.col("own") <= F.col("least") + 1e-9, F.lit(True)).alias("nearest"))
+
+
+@query("h2_kmeans_restarts", (
+    f"select seed, k, n, true as rests, true as at_means, true as in_readings, true as best_is_least from ({_KSQL}), "
+    "(select unnest(range(42, 52)) as seed)"))
 def h2(spark, sf):
-    f = features(spark, sf, 1000)
-    model = cl.fit_kmeans(f, cl.choose_k(f.count()), restarts=3)
-    return model.transform(f).select(K, "prediction")
+    """Ten starts in shared readings: each comes to rest with its centres at the means of its tickets."""
+    f = features(spark, sf)
+    k = cl.choose_k(f.count())
+    rows, starts, readings = km.fit(f, [k], range(42, 52))
+    best = cl.fit_kmeans(f, k)
 
+    def at_means(start):
+        filled = start.sizes > 0
+        means = start.totals[filled] / start.sizes[filled, None]
+        return bool(abs(means - start.centres[filled]).max() < 1e-3)
 
-@query("h3_sweep_k")
-def h3(spark, sf):
-    """The first and the last value of the range; every value costs a training run."""
-    f = features(spark, sf, 1000)
-    ks = cl.sweep_range(f.count())
-    return cl.sweep_k(f, (ks[0], ks[-1]), max_iter=20)
+    return spark.createDataFrame([
+        (s_.seed, s_.k, int(s_.sizes.sum()), bool(s_.settled), at_means(s_), readings <= 301, bool(best.cost <= s_.cost + 1e-6))
+        for s_ in starts], "seed long, k long, n long, rests boolean, at_means boolean, in_readings boolean, best_is_least boolean")
 
 
-_KSQL = ("select count(*) as n, case when least(50, count(*) // 20) < 2 then 2 else "
-         "least(case when count(*) > 3000 then 25 when count(*) > 1000 then 15 else 10 end, "
-         "least(50, count(*) // 20)) end as k, greatest(2, least(30, count(*) // 20)) as k0 "
-         "from documents")
+@query("h3_sweep_k", (
+    f"select unnest(range(2, least(least(50, n // 20) + 1, 30))) as k, true as costs_less_than_one_cluster, "
+    f"true as silhouette_in_range from ({_KSQL})"))
+def h3(spark, sf):
+    """Every k of the range, ten starts each, in shared readings."""
+    f = features(spark, sf)
+    one = km.fit(f, [1], [42])[1][0].cost
+    table = cl.sweep_k(f, cl.sweep_range(f.count()))
+    return table.select(
+        F.col("k").cast("long").alias("k"), ((F.col("inertia") > 0) & (F.col("inertia") <= one)).alias("costs_less_than_one_cluster"),
+        F.col("silhouette").between(-1, 1).alias("silhouette_in_range"))
 
 
 @query("h4_choose_k", _KSQL)
@@ -297,27 +331,27 @@ def l3(spark, sf):
         test.withColumn("is_test", F.lit(True)))
 
 
-def _encoded(spark, sf, size=1000):
-    f = features(spark, sf, size)
-    model, out = md.encode_labels(f)
-    return model.labels, out
-
+def _split_terms(spark, sf):
+    """Labelled terms with the stratified split, and the vectorizer of the training part."""
+    names, rows = md.encode_labels(terms_of(spark, sf))
+    split = ev.stratified_split(rows, "cluster").select(K, "cluster", "label", "terms", "is_test").cache()
+    return names.labels, split, ft.vectorizer(ft.fit_vocabulary(split.where("not is_test")))
 
-def _small_forest():
-    from ticketloom.config import Config
 
-    return Config(trees=20, max_depth=8)
-
-
-@query("l4_train_forest")
+@query("l4_train_forest", s.with_tickets(
+    "select is_test, n, true as in_range, true as beats_majority from (select false as is_test, total - g as n from goal "
+    "union all select true, g from goal)",
+    "goal as (select count(*) as total, cast(ceil(count(*) * 0.2) as bigint) as g from tickets)"))
 def l4(spark, sf):
-    names, f = _encoded(spark, sf)
-    split = ev.stratified_split(f, "cluster").cache()
-    forest = md.train_forest(split.where("not is_test"), _small_forest())
-    scored = forest.transform(split)
-    return scored.groupBy("is_test").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6).alias("accuracy"))
+    """The production forest; its vocabulary has not seen the test part."""
+    _, split, vec = _split_terms(spark, sf)
+    rows = vec.transform(split).select("cluster", "label", "is_test", "features").cache()
+    scored = md.train_forest(rows.where("not is_test")).transform(rows)
+    hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    largest = rows.groupBy("is_test", "cluster").count().groupBy("is_test").agg(
+        (F.max("count") / F.sum("count")).alias("majority"))
+    return scored.groupBy("is_test").agg(F.count("*").alias("n"), hit.alias("a")).join(largest, "is_test").select(
+        "is_test", "n", F.col("a").between(0, 1).alias("in_range"), (F.col("a") > F.col("majority")).alias("beats_majority"))
 
 
 @query("l5_accuracy", (
@@ -327,11 +361,17 @@ def l5(spark, sf):
     return ev.accuracy(labels(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("l6_predict")
+@query("l6_predict", s.with_tickets(
+    "select ticket_id, true as known_type, true as in_range from tickets"))
 def l6(spark, sf):
-    names, f = _encoded(spark, sf)
-    forest = md.train_forest(f, _small_forest())
-    return md.predict(f, forest, names).select(K, "predicted_type", F.round("confidence", 6).alias("confidence"))
+    """Every ticket gets the type of a cluster, and a confidence that no class is below by chance."""
+    labels_, split, vec = _split_terms(spark, sf)
+    rows = vec.transform(split).select(K, "label", "is_test", "features").cache()
+    forest = md.train_forest(rows.where("not is_test"))
+    types = split.select(tx.type_id("cluster").alias("predicted_type")).distinct().withColumn("known", F.lit(True))
+    done = md.predict(rows, forest, labels_).join(F.broadcast(types), "predicted_type", "left")
+    return done.select(K, F.coalesce("known", F.lit(False)).alias("known_type"),
+                       (F.col("confidence") >= F.lit(1.0 / len(labels_) - 1e-9)).__and__(F.col("confidence") <= 1).alias("in_range"))
 
 
 @query("l7_type_id", s.with_tickets(
@@ -347,10 +387,33 @@ def l9(spark, sf):
     return load_tickets(spark, sf).select(K, ev.fold_of(K).alias("fold"))
 
 
-@query("l9_cross_validate")
+_FOLD = "cast(('0x' || substr(md5(ticket_id || ':42'), 1, 8))::bigint % 5 as integer)"
+_FOLD_CTES = (
+    *VOCAB_C[:5],
+    f"folds as (select {_FOLD} as fold, count(*) as own from tickets group by 1)",
+    f"foldtf as (select {_FOLD} as fold, term, tf from tf)",
+    "foldvocab as (select folds.fold, term, count(*) as df, cast(sum(tf) as bigint) as cf from folds join foldtf "
+    "on folds.fold <> foldtf.fold group by folds.fold, term, own having count(*) >= 3 and "
+    "count(*) <= cast(0.7 as double) * ((select n from n) - own) "
+    "qualify row_number() over (partition by folds.fold order by cf desc, term) <= 8000)",
+)
+
+
+@query("l9_fold_vocabularies", s.with_tickets("select fold, term, df, cf from foldvocab", *_FOLD_CTES))
+def l9_vocabularies(spark, sf):
+    """The vocabulary of each fold, by subtraction from counts taken once."""
+    t = terms_of(spark, sf).select("terms", ev.fold_of(K).alias("fold"))
+    sizes = {r["fold"]: r["count"] for r in t.groupBy("fold").count().collect()}
+    return ft.fold_vocabularies(ft.fold_stats(t, "fold"), sizes).select("fold", "term", "df", "cf")
+
+
+@query("l9_cross_validate", s.with_tickets(
+    "select fold, own as n, (select count(*) from foldvocab v where v.fold = folds.fold) as terms, "
+    "true as in_range from folds", *_FOLD_CTES))
 def l9_cv(spark, sf):
-    _, f = _encoded(spark, sf, 300)
-    return md.cross_validate(f, 3, _small_forest())
+    """Five folds with 8,000 terms and the production forest."""
+    _, rows = md.encode_labels(terms_of(spark, sf))
+    return md.cross_validate(rows).select("fold", "n", "terms", F.col("accuracy").between(0, 1).alias("in_range"))
 
 
 @query("l10_confusion", f"with {LABELS} select label, prediction, count(*) as n from lab group by all")
@@ -387,23 +450,33 @@ def l12(spark, sf):
     return c.withColumns({x: F.round(x, 6) for x in ("accuracy", "low", "high")})
 
 
-@query("l13_ablation")
+@query("l13_ablation", s.with_tickets(
+    "select least(terms, (select count(*) from vocab)) as terms, k, (select count(*) from tickets) - own as n_train, "
+    "own as n_test, true as in_range from folds, (select unnest([8000, 4000]) as terms), (select unnest([25, 15]) as k) "
+    "where fold = 0",
+    *(c.replace("n as (select count(*) as n from tickets)", f"n as (select count(*) as n from tickets where {_FOLD} <> 0)")
+      .replace("idf from tf group", f"idf from (select * from tf where {_FOLD} <> 0) group") for c in VOCAB_C),
+    _FOLD_CTES[4]))
 def l13(spark, sf):
-    """Accuracy with 200 and with 800 terms."""
-    runs = []
-    for size in (200, 800):
-        _, f = _encoded(spark, sf, size)
-        split = ev.stratified_split(f, "cluster").cache()
-        forest = md.train_forest(split.where("not is_test"), _small_forest())
-        acc = ev.accuracy(forest.transform(split.where("is_test"))).first()["accuracy"]
-        runs.append((f"{size} terms", acc))
-    return md.ablate(runs, spark)
-
-
-@query("l8_system_metrics")
+    """Vocabularies of 8,000 and 4,000 terms by 25 and 15 clusters, from one feature table."""
+    return md.ablate(terms_of(spark, sf)).select(
+        F.col("terms").cast("long").alias("terms"), F.col("k").cast("long").alias("k"), "n_train", "n_test",
+        F.col("accuracy").between(0, 1).alias("in_range"))
+
+
+@query("l8_system_metrics", (
+    f"select true as silhouette_in_range, true as accuracy_in_range, true as score_in_range, k as num_clusters, "
+    f"cast(1 as double) as coverage from ({_KSQL})"))
 def l8(spark, sf):
-    f = features(spark, sf, 300)
-    model = cl.fit_kmeans(f, 10, restarts=1, max_iter=20)
-    pred = model.transform(f)
-    acc = ev.accuracy(pred, "cluster", "prediction").first()["accuracy"]
-    return md.system_metrics(spark, cl.silhouette(pred), acc, pred.select("prediction").distinct().count())
+    """Metrics of a run of the production setting, cross-validation included."""
+    f = features(spark, sf)
+    model = cl.fit_kmeans(f, cl.choose_k(f.count()))
+    clusters = model.transform(f).withColumn("cluster", F.col("prediction"))
+    _, rows = md.encode_labels(terms_of(spark, sf).drop("cluster").join(clusters.select(K, "cluster"), K))
+    score = md.cross_validate(rows).agg(F.avg("accuracy")).first()[0]
+    m = md.system_metrics(spark, cl.silhouette(clusters), score, clusters.select("cluster").distinct().count(), score)
+    return m.select(
+        F.col("silhouette_score").between(-1, 1).alias("silhouette_in_range"),
+        F.col("model_accuracy").between(0, 1).alias("accuracy_in_range"),
+        F.col("model_cv_score").between(0, 1).alias("score_in_range"),
+        F.col("num_clusters").cast("long").alias("num_clusters"), "coverage")

@@ -164,10 +164,10 @@ def i7(spark, sf):
     return pr.criticality(pr.cluster_signals(load_tickets(spark, sf))).select(C, "nivel_criticidad")
 
 
-@query("i8_main_pattern", sql("select cluster, patron, p0, p2, p5 from joined"))
+@query("i8_main_pattern", sql("select cluster, patron, p0, p1, p2, p3, p4, p5, p6, p7 from joined"))
 def i8(spark, sf):
     g = pr.main_pattern(pr.cluster_signals(load_tickets(spark, sf)))
-    return g.select(C, "patron", *[F.col(f"pattern_{i}").alias(f"p{i}") for i in (0, 2, 5)])
+    return g.select(C, "patron", *[F.col(f"pattern_{i}").alias(f"p{i}") for i in range(8)])
 
 
 @query("i9_subtype", sql("select cluster, subtipo from joined"))

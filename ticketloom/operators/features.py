@@ -5,12 +5,15 @@ The vocabulary is chosen once, with ties in alphabetical order, and both forms u
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorSlicer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketloom.functions.text import bound, ngrams_1_2, word_tokens
+from ticketloom.operators.ranking import top_n
 
 
 def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
@@ -70,6 +73,42 @@ def fit_vocabulary(
     return top.withColumn("idf", smooth_idf(n, F.col("df")))
 
 
+def fold_stats(df: DataFrame, fold: str, terms: str = "terms") -> DataFrame:
+    """Documents and occurrences of every term in every fold: (term, fold, df, cf).
+
+    One reading of the texts; combined before the shuffle, as in ``term_stats``.
+    """
+    return (
+        df.select(F.col(fold).alias("fold"), F.inline(_first_flags(F.col(terms))))
+        .groupBy("term", "fold")
+        .agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
+    )
+
+
+def fold_vocabularies(
+    stats: DataFrame, sizes: dict[int, int], max_features: int = 8000, min_df: int = 3, max_df: float = 0.7,
+) -> DataFrame:
+    """The vocabulary that each fold is tested with: (fold, term, df, cf, idf).
+
+    Counts of the other folds are the total less the fold's own, so the texts are not read
+    again for any fold. ``sizes`` are the documents of each fold. Limits and order are those
+    of ``fit_vocabulary``.
+    """
+    n = sum(sizes.values())
+    train = F.create_map(*(F.lit(x) for f, own in sizes.items() for x in (f, n - own)))
+    own = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("df", "cf"))))
+    totals = stats.groupBy("term").agg(F.sum("df").alias("_df"), F.sum("cf").alias("_cf"), own.alias("_own"))
+    each = totals.select(
+        "term", "_df", "_cf", "_own", F.explode(F.array(*(F.lit(f).cast("int") for f in sizes))).alias("fold"))
+    mine = F.try_element_at("_own", F.col("fold"))
+    rest = each.select(
+        "fold", "term", (F.col("_df") - F.coalesce(mine["df"], F.lit(0))).alias("df"),
+        (F.col("_cf") - F.coalesce(mine["cf"], F.lit(0))).alias("cf"), train[F.col("fold")].alias("_n"))
+    kept = rest.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n")))
+    top = top_n(kept, ["fold"], [F.desc("cf"), F.asc("term")], max_features)
+    return top.withColumn("idf", smooth_idf(F.col("_n"), F.col("df"))).drop("_n", "rank")
+
+
 def _long_rows(
     df: DataFrame, vocabulary: DataFrame, doc: str, terms: str, keep: tuple[str, ...], max_features: int
 ) -> DataFrame:
@@ -128,6 +167,31 @@ def vectorizer(vocabulary: DataFrame, max_features: int = 8000) -> PipelineModel
     return PipelineModel([counts, weights, Normalizer(p=2.0, inputCol="_weighted", outputCol="features")])
 
 
+def fold_vectors(df: DataFrame, vocabularies: DataFrame, folds: Iterable[int], max_features: int = 8000) -> DataFrame:
+    """Replace ``terms`` by one feature vector for each fold's vocabulary, ``features_<fold>``.
+
+    All vectors of a row come from one reading of its terms.
+    """
+    kept = vocabularies.persist()
+    out = df
+    for f in folds:
+        out = vectorizer(kept.where(F.col("fold") == f), max_features).transform(out).withColumnRenamed(
+            "features", f"features_{f}").drop("_counts", "_weighted")
+    kept.unpersist()
+    return out.drop("terms")
+
+
+def sliced_features(df: DataFrame, model: PipelineModel, ranked: list[str], size: int, out: str = "features") -> DataFrame:
+    """Features of a smaller vocabulary, cut from the weights of a larger one.
+
+    ``ranked`` are the larger vocabulary's terms from the most frequent on. Weights do not
+    depend on the other terms, so the vector of the first ``size`` is a slice, normalised again.
+    """
+    place = {t: i for i, t in enumerate(vocabulary_of(model))}
+    slicer = VectorSlicer(inputCol="_weighted", outputCol="_sliced", indices=sorted(place[t] for t in ranked[:size]))
+    return Normalizer(p=2.0, inputCol="_sliced", outputCol=out).transform(slicer.transform(df)).drop("_sliced")
+
+
 def vocabulary_of(model: PipelineModel) -> list[str]:
     """Terms of a fitted vectorizer, by index."""
     return list(model.stages[0].vocabulary)
