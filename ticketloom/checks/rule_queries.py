@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ticketloom import lexicons as lx
 from ticketloom.checks import sql as s
 from ticketloom.checks.registry import query
+from ticketloom.functions.text import WORD
 from ticketloom.operators import rules as ru
 from ticketloom.sources.tickets import load_tickets
 
@@ -158,10 +159,41 @@ def f9(spark, sf):
 
 @query("f9_rules_large", _F9)
 def f9_large(spark, sf):
-    """The joined form, forced by a limit of zero phrases."""
+    """The search tree, forced by a limit of zero phrases."""
     return _rounded(ru.classify_with_rules(_twice(spark, sf), rules_table(spark), limit=0))
 
 
+# Every word of four letters and more in half of the tickets, categories by its length.
+_RUN = f"[{s.W}]+"
+_WORD_RULES = (
+    f"texts as (select ticket_id, doc_id, list_distinct(regexp_extract_all({s.RULE_TEXT}, '{_RUN}')) as ws from tickets)",
+    "rules as (select distinct w as keyword, length(w) % 40 as co from (select unnest(ws) as w from texts "
+    "where doc_id % 2 = 0) where length(w) >= 4)",
+    "scores as (select ticket_id, co, cast(count(*) as integer) as score, list(keyword order by keyword)[1:2] as ks "
+    "from (select ticket_id, unnest(ws) as keyword from texts) join rules using (keyword) group by ticket_id, co)",
+)
+
+
+@query("f9_rules_many", s.with_tickets(
+    "select ticket_id, 'c' || co as predicted_type, score, array_to_string(ks, ', ') as rule_matched, "
+    "'palabras de ' || co as nombre, case when co % 2 = 0 then 'Alta' end as nivel_criticidad from scores "
+    "qualify row_number() over (partition by ticket_id order by score desc, co) = 1", *_WORD_RULES))
+def f9_many(spark, sf):
+    """A rule table that grows with the tickets, matched as whole words, with texts of its categories."""
+    t = ru.with_rule_text(load_tickets(spark, sf)).select(K, "doc_id", "processed_text")
+    word = F.explode(F.regexp_extract_all("processed_text", F.lit(f"[{WORD}]+"), F.lit(0))).alias("keyword")
+    order = (F.length("keyword") % 40).alias("category_order")
+    rules = t.where("doc_id % 2 = 0").select(word).where("length(keyword) >= 4").distinct().select(
+        F.concat(F.lit("c"), (F.length("keyword") % 40).cast("string")).alias("category"), order, "keyword",
+        F.lit(0).alias("keyword_order"))
+    info = spark.range(40).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("category"),
+        F.concat(F.lit("palabras de "), F.col("id").cast("string")).alias("nombre"),
+        F.lit(None).cast("string").alias("descripcion"), F.when(F.col("id") % 2 == 0, "Alta").alias("nivel_criticidad"))
+    done = ru.classify_with_rules(t, rules, limit=0, match="word", info=info)
+    return done.select(K, "predicted_type", "score", "rule_matched", "nombre", "nivel_criticidad")
+
+
 @query("f10_triage", sql(
     "select ticket_id, coalesce(predicted_type, 'sin_clasificar') as incident_type, "
     "coalesce(grupo, 'Sin asignar') as suggested_group, "

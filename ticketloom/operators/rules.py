@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketloom import lexicons as lx
 from ticketloom.functions.phrases import phrases_in
 from ticketloom.functions.text import default_text, ellipsize, literals, rule_text
 from ticketloom.operators.ranking import broadcast_if_small
+from ticketloom.operators.rule_search import RULE_BYTES, best_rules
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 Info = Sequence[tuple[str, str, str, str]]
 
 AUTOMATIC = "clasificación automática"
 FEW_RULES = 2000
-BROADCAST_RULES = 100_000
 BROADCAST_ROUTES = 10_000
 ENTITY_MAP = "map<string,array<string>>"
 
@@ -207,82 +207,45 @@ def few_rules(rules: DataFrame, limit: int = FEW_RULES) -> list[tuple[str, list[
     return [(c, [k for _, k in sorted(kws)]) for (_, c), kws in sorted(out.items())]
 
 
-def _begin_width(keyword: Column) -> Column:
-    """Characters of a phrase that tickets are joined on: six, three, or all it has."""
-    n = F.length(keyword)
-    return F.when(n >= 6, 6).when(n >= 3, 3).otherwise(n)
+def with_category_texts(df: DataFrame, info: DataFrame | None) -> DataFrame:
+    """Add name, description and criticality of ``predicted_type``; its id where the table has no row.
 
-
-def _beginnings(text: Column, widths: Sequence[int]) -> Column:
-    """Distinct substrings of the given widths."""
-    parts = [
-        F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)))
-        for w in widths
-    ]
-    return F.concat(*parts)
-
-
-def match_many_rules(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFrame:
-    """Rows of ticket and phrase, for prepared rule tables of any size.
-
-    A phrase can only occur where its first characters do. Tickets and phrases meet on
-    those characters by an equality join, and the whole phrase is looked for in the text,
-    which is still in the row: up to ``BROADCAST_RULES`` phrases nothing is shuffled.
-    Beyond, the join shuffles and AQE splits a frequent beginning.
+    ``info``: category, nombre, descripcion, nivel_criticidad; of several rows of a category
+    the first by its fields counts.
     """
-    phrases = rules.withColumn("_width", _begin_width(F.col("keyword")))
-    phrases = phrases.withColumn("_begin", F.expr("left(keyword, _width)"))
-    # At most four widths: 1, 2, 3 and 6.
-    widths = sorted(r[0] for r in phrases.select("_width").distinct().collect())
-    begins = df.select(*keep, F.col(text).alias("_text"), F.explode(_beginnings(F.col(text), widths)).alias("_begin"))
-    small = broadcast_if_small(phrases.drop("_width"), BROADCAST_RULES)
-    return begins.join(small, "_begin").where(F.col("_text").contains(F.col("keyword"))).drop("_begin", "_text")
+    fields = ("nombre", "descripcion", "nivel_criticidad")
+    if info is None:
+        return df
+    one = info.groupBy(F.col("category").alias("predicted_type")).agg(F.min(F.struct(*fields)).alias("_texts"))
+    named = df.join(broadcast_if_small(one, BROADCAST_ROUTES), "predicted_type", "left")
+    texts = {f: F.col(f"_texts.{f}") for f in fields}
+    for f in fields[:2]:
+        texts[f] = F.coalesce(texts[f], "predicted_type")
+    return named.select(*df.columns, *(c.alias(f) for f, c in texts.items()))
 
 
 def classify_with_rules(
     df: DataFrame, rules_df: DataFrame, key: str = "ticket_id", text: str = "processed_text",
-    limit: int = FEW_RULES,
+    limit: int = FEW_RULES, match: str = "substring", info: DataFrame | None = None,
+    rule_bytes: int = RULE_BYTES,
 ) -> DataFrame:
     """Winning category per ticket under a user's rule table; tickets without one are left out.
 
     ``rules_df``: category, category_order, keyword, keyword_order. Up to ``limit``
-    phrases become literals of one projection. Larger tables are joined. Both ways use
-    the same prepared table and give the same rows, one for each row of ``df``.
+    phrases become literals of one projection. Larger tables are searched as a tree in
+    tasks. Both ways use the same prepared table and give the same rows, one for each row of
+    ``df``, and both match substrings or whole words. ``info`` adds the category's texts.
     """
     rules = prepared_rules(rules_df)
     small = few_rules(rules, max(limit, 0))
     if small == [] or limit < 1 and few_rules(rules, 1) == []:
         names = (("predicted_type", "string"), ("score", "int"), ("confidence", "double"), ("rule_matched", "string"))
-        return df.select(key, *(F.lit(None).cast(t).alias(n) for n, t in names)).where("false")
-    if small is not None:
-        won = best_rule(df, text, small, [])
-        return won.where("predicted_type IS NOT NULL").select(
-            key, "predicted_type", "score", "confidence", "rule_matched"
-        )
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    pairs = match_many_rules(numbered, text, rules, "_row", key)
-    per_category = pairs.groupBy("_row", key, "category", "category_order").agg(
-        F.count("*").cast("int").alias("score"),
-        F.array_join(
-            F.transform(
-                F.slice(F.array_sort(F.collect_list(F.struct("keyword_order", "keyword"))), 1, 2),
-                lambda x: x["keyword"],
-            ),
-            ", ",
-        ).alias("rule_matched"),
-    )
-    first = Window.partitionBy("_row").orderBy(F.desc("score"), F.asc("category_order"), F.asc("category"))
-    return (
-        per_category.withColumn("_rn", F.row_number().over(first))
-        .where("_rn = 1")
-        .select(
-            key,
-            F.col("category").alias("predicted_type"),
-            "score",
-            confidence("score").alias("confidence"),
-            "rule_matched",
-        )
-    )
+        won = df.select(key, *(F.lit(None).cast(t).alias(n) for n, t in names)).where("false")
+    elif small is not None:
+        won = best_rule(df, text, small, [], match).where("predicted_type IS NOT NULL")
+    else:
+        won = best_rules(df, key, text, rules, match, rule_bytes).withColumn("confidence", confidence("score"))
+    return with_category_texts(won.select(key, "predicted_type", "score", "confidence", "rule_matched"), info)
 
 
 # -- triage and result names -------------------------------------------------
