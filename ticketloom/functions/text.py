@@ -68,12 +68,28 @@ def preprocess(
     return squash(normalize_synonyms(remove_phrases(spaced, phrases), pairs))
 
 
+def outside(kept: str) -> str:
+    """Class of all characters but these, as ranges.
+
+    The engine tests a negated class of several ranges character by character through a chain
+    of predicates; the same set as plain ranges is some ten times as fast.
+    """
+    points, ranges, at = sorted(set(map(ord, kept))), [], 0
+    for p in [*points, 0x110000]:
+        if p > at:
+            ranges.append(rf"\x{{{at:X}}}-\x{{{p - 1:X}}}")
+        at = p + 1
+    return "[" + "".join(ranges) + "]"
+
+
+#: Characters that ``clean_es`` keeps.
+SPANISH = "abcdefghijklmnopqrstuvwxyzáéíóúñü0123456789-_"
+
+
 def clean_es(c: Column | str) -> Column:
     """Keep Spanish lower-case letters, digits, space, ``-`` and ``_``."""
     # Other signs and space alike end as one space, so one pass is enough.
-    return F.trim(
-        F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^a-záéíóúñü0-9\-_]+", " ")
-    )
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), outside(SPANISH) + "+", " "))
 
 
 # -- combining --------------------------------------------------------------

@@ -38,18 +38,56 @@ def _top_counts(pairs: DataFrame, value: str, n: int, least: int = 1) -> DataFra
     return top_n(counts, [C], [F.desc("n"), F.asc(value)], n)
 
 
+def top_lists(df: DataFrame, **parts: tuple[Column, int, int]) -> DataFrame:
+    """Most frequent values of several kinds per cluster, one list column for each kind.
+
+    A part is (array of values, length of the list, least count). All kinds are counted in
+    one tagged table (cluster, kind, value): one reading, one shuffle of combined counts.
+    Clusters without any value have no row; a list without values is null.
+    """
+    names = list(parts)
+
+    def tag(k: int):
+        return lambda x: F.struct(F.lit(k).alias("kind"), x.alias("value"))
+
+    tagged = F.concat(*(F.transform(F.coalesce(values, F.array().cast("array<string>")), tag(k))
+                        for k, (values, _, _) in enumerate(parts.values())))
+    kind = F.col("kind")
+
+    def by_kind(i: int) -> Column:
+        return F.element_at(F.array(*(F.lit(p[i]) for p in parts.values())), kind + 1)
+
+    counts = df.select(C, F.inline(tagged)).where("value is not null").groupBy(C, "kind", "value").agg(F.count("*").alias("n"))
+    most = max(p[1] for p in parts.values())
+    ranked = top_n(counts.where(F.col("n") >= by_kind(2)), [C, "kind"], [F.desc("n"), F.asc("value")], most)
+    pairs = {n: F.collect_list(F.when(kind == k, F.struct("rank", "value"))) for k, n in enumerate(names)}
+    lists = ranked.where(F.col("rank") <= by_kind(1)).groupBy(C).agg(*(
+        F.transform(F.array_sort(x), lambda p: p["value"]).alias(n) for n, x in pairs.items()))
+    return lists.select(C, *(F.when(F.size(n) > 0, F.col(n)).alias(n) for n in names))
+
+
+def _one(col: str) -> Column:
+    return F.array(F.col(col))
+
+
+def _keywords(text: str = "resumen", stop: Sequence[str] = lx.KEYWORD_STOPWORDS) -> Column:
+    return drop_stopwords(ascii_tokens(text), stop)
+
+
+def _words() -> Column:
+    return meaningful_words(analysis_text("resumen", "notas", "causa_raiz"))
+
+
 def top_keywords(
     df: DataFrame, n: int = 15, stop: Sequence[str] = lx.KEYWORD_STOPWORDS, text: str = "resumen"
 ) -> DataFrame:
     """Most frequent keywords of the summaries per cluster."""
-    tokens = drop_stopwords(ascii_tokens(text), stop)
-    return _top_counts(df.select(C, F.explode(tokens).alias("term")), "term", n)
+    return _top_counts(df.select(C, F.explode(_keywords(text, stop)).alias("term")), "term", n)
 
 
 def top_words(df: DataFrame, n: int = 10) -> DataFrame:
     """Most frequent analyzer words per cluster, those that occur more than once."""
-    words = meaningful_words(analysis_text("resumen", "notas", "causa_raiz"))
-    return _top_counts(df.select(C, F.explode(words).alias("term")), "term", n, least=2)
+    return _top_counts(df.select(C, F.explode(_words()).alias("term")), "term", n, least=2)
 
 
 def top_values(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -204,9 +242,14 @@ def describe(df: DataFrame, causes: str = "causas", out: str = "descripcion") ->
     return df.withColumn(out, text)
 
 
-def _example_list(df: DataFrame, n: int, cut: int, fields: Sequence[str]) -> DataFrame:
-    rows = examples(df, n, cut).select(C, "rank", F.struct(*fields).alias("ejemplo"))
-    return ranked_list(rows, C, "ejemplo", "ejemplos")
+def _example_list(df: DataFrame, n: int, cut: int, fields: Sequence[str], ids: int = 0) -> DataFrame:
+    """Examples as one list per cluster, and the first ``ids`` ticket ids from the same reading."""
+    rows = examples(df, max(n, ids), cut).select(C, "rank", F.struct(*fields).alias("ejemplo"), "id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "ejemplo", "id")))
+    out = rows.groupBy(C).agg(ordered.alias("_rows")).select(
+        C, F.transform(F.slice("_rows", 1, n), lambda x: x["ejemplo"]).alias("ejemplos"),
+        F.transform(F.slice("_rows", 1, max(ids, 1)), lambda x: x["id"]).alias("incident_ids"))
+    return out if ids else out.drop("incident_ids")
 
 
 def _filled(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -219,13 +262,10 @@ def profile_clusters(df: DataFrame) -> DataFrame:
 
     The tables joined have one row per cluster.
     """
-    keywords = ranked_list(top_keywords(df), C, "term", "_palabras")
-    types = ranked_list(top_values(df, "tipo_ticket", 3), C, "value", "tipos_principales")
-    causes = ranked_list(top_values(df, "causa_raiz", 2), C, "value", "causas")
+    lists = top_lists(df, _palabras=(_keywords(), 15, 1), tipos_principales=(_one("tipo_ticket"), 3, 1),
+                      causas=(_one("causa_raiz"), 2, 1))
     rows = _example_list(df, 3, 150, ("id", "resumen", "tipo_ticket"))
-    out = cluster_signals(df)
-    for part in (keywords, types, causes, rows):
-        out = out.join(part, C, "left")
+    out = cluster_signals(df).join(lists, C, "left").join(rows, C, "left")
     out = _filled(out, ("_palabras", "tipos_principales", "causas"))
     out = out.withColumn("palabras_clave", F.slice("_palabras", 1, 10))
     out = describe(category_name(subtype(main_pattern(criticality(pattern_flags(out))))))
@@ -365,9 +405,8 @@ def first_ids(df: DataFrame, n: int = 10) -> DataFrame:
 
 def semantic_inputs(df: DataFrame) -> DataFrame:
     """Preliminary category per cluster: words, causes, features, pattern counts."""
-    words = ranked_list(top_words(df).where("rank <= 8"), C, "term", "top_words")
-    causes = ranked_list(top_values(df, "causa_raiz", 3), C, "value", "top_causes")
-    out = semantic_signals(df).join(words, C, "left").join(causes, C, "left")
+    lists = top_lists(df, top_words=(_words(), 8, 2), top_causes=(_one("causa_raiz"), 3, 1))
+    out = semantic_signals(df).join(lists, C, "left")
     return _filled(out, ("top_words", "top_causes"))
 
 
@@ -377,8 +416,8 @@ def semantic_profile(df: DataFrame, inputs: DataFrame | None = None) -> DataFram
     ``inputs`` replaces the words, causes and features, for merged categories.
     """
     base = semantic_inputs(df) if inputs is None else inputs
-    rows = _example_list(df, 5, 120, ("id", "resumen", "causa_raiz", "prioridad"))
-    out = base.join(rows, C, "left").join(first_ids(df), C, "left")
+    rows = _example_list(df, 5, 120, ("id", "resumen", "causa_raiz", "prioridad"), ids=10)
+    out = base.join(rows, C, "left")
     out = share(semantic_describe(semantic_name(context_modifier(functional_pattern(out)))))
     return out.select(
         C, "nombre", slug_merged("nombre").alias("clave"), "descripcion", "num_incidencias",
