@@ -213,6 +213,21 @@ def h6(spark, sf):
         "vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("h6_silhouette_euclidean", """
+with d as (select a.vec_id, a.label, b.label as other, sum(sqrt(list_sum(list_transform(
+    range(1, len(a.embedding) + 1), lambda i: (cast(a.embedding[i] as double)
+    - cast(b.embedding[i] as double)) ^ 2)))) as s, count(*) as n
+  from embeddings a join embeddings b on a.vec_id % 50 = 0 group by all),
+s as (select vec_id, label, max(n) filter (label = other) as n,
+  max(s / greatest(n - 1, 1)) filter (label = other) as a, min(s / n) filter (label <> other) as b
+  from d group by all)
+select vec_id, label, round(case when n = 1 then 0 else (b - a) / greatest(a, b) end, 6) as silhouette from s""")
+def h6_euclidean(spark, sf):
+    """Every row whose id is divisible by 50 against all rows."""
+    return cl.silhouette_euclidean(embeddings(spark, sf), F.col("vec_id") % 50 == 0).withColumn(
+        "silhouette", F.round("silhouette", 6))
+
+
 @query("h7_cluster_sizes", s.with_tickets(
     "select cluster, count(*) as size, (select max(c) from (select count(*) as c from tickets "
     "group by cluster)) as largest from tickets group by cluster"))

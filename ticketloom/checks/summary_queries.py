@@ -244,6 +244,25 @@ def n6(spark, sf):
     return _day(rounded(d, "delta", "total_variation"))
 
 
+# Every URL-like kind there is: type and user together, thousands of kinds.
+@query("n6_mix_drift_seen", (
+    "with e as (select ts, event_type || '-' || cast(user_id as varchar) as kind from events), "
+    "c as (select cast(date_trunc('week', ts) as date) as week, kind, count(*) as n "
+    "from e group by all), b as (select kind, sum(n) / (select sum(n) from c where week < date "
+    "'2024-01-15') as s from c where week < date '2024-01-15' group by kind), w as (select week, "
+    "sum(n) as wn from c where week >= date '2024-01-15' group by week), d as (select week, kind, "
+    "n / wn - coalesce(s, 0) as delta, coalesce(s, 0) as s from c join w using (week) left join b using (kind)), "
+    "t as (select week, (select coalesce(sum(s), 0) from b) - sum(s) as lost, sum(abs(delta)) as moved from d group by week) "
+    "select cast(week as varchar) as week, kind, true as seen, round(delta, 6) as delta, "
+    "round((moved + lost) / 2, 6) as total_variation from d join t using (week) union all "
+    "select cast(week as varchar), null, false, round(-lost, 6), round((moved + lost) / 2, 6) from t where lost > 1e-12"))
+def n6_seen(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        "ts", F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("kind"))
+    d = mo.mix_drift_seen(events, "kind", "ts", "2024-01-15")
+    return _day(rounded(d, "delta", "total_variation"))
+
+
 @query("n7_unbalanced_clusters", s.with_tickets(
     "select cluster, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from tickets "
     "group by cluster qualify count(*) / sum(count(*)) over () > 0.25"))

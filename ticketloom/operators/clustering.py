@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.config import Config
 from ticketloom.operators import kmeans as km
-from ticketloom.operators.ranking import bounded_list, MOST_IN_A_ROW, top_n
+from ticketloom.operators.ranking import top_n
+from ticketloom.operators.vectors import TILE_BYTES, euclidean_silhouettes, nearest_by_tiles, silhouettes_by_tiles
+from ticketloom.session import materialize
 
 
 def choose_k(n: int, cfg: Config = Config()) -> int:
@@ -149,20 +151,35 @@ def _per_label(cents: DataFrame) -> DataFrame:
     return cents.groupBy("label").agg(F.transform(ordered, lambda x: x["value"]).alias("mean"))
 
 
+def _bytes(means: DataFrame) -> int:
+    """Bytes of the vectors of a written table."""
+    return means.agg(F.coalesce(F.sum(F.size("mean") * 8), F.lit(0))).first()[0]
+
+
+def silhouette_euclidean(
+    df: DataFrame, queries: Column, key: str = "vec_id", label: str = "label", vector: str = "embedding",
+) -> DataFrame:
+    """Silhouette on plain distances of the rows that ``queries`` names, against all rows."""
+    return euclidean_silhouettes(df, key, label, vector, queries)
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def assign_nearest(
     df: DataFrame, cents: DataFrame, vector: str = "embedding", out: str = "nearest",
-    most: int = MOST_IN_A_ROW,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """Nearest centroid of each vector, ties to the smallest label.
 
-    The centroids (clusters times dimensions) come as one scalar value, so each row is
-    handled where it lies: no join, no shuffle. More than ``most`` labels are an error.
+    Centroids of up to ``tile_bytes`` come as one scalar value, so each row is handled where
+    it lies: no join, no shuffle. More are compared tile by tile; both ways give the same rows.
     """
-    rows = _per_label(cents).agg(bounded_list(F.struct("label", "mean"), most).alias("c"))
+    means = materialize(_per_label(cents), "means")
+    if _bytes(means) > tile_bytes:
+        return nearest_by_tiles(df, means, vector, out, tile_bytes)
+    rows = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("c"))
 
     def distance(mean: Column) -> Column:
         squares = F.zip_with(
@@ -182,20 +199,23 @@ def assign_nearest(
 
 
 def silhouette_rows(
-    df: DataFrame, label: str = "label", vector: str = "embedding", most: int = MOST_IN_A_ROW
+    df: DataFrame, label: str = "label", vector: str = "embedding", tile_bytes: int = TILE_BYTES
 ) -> DataFrame:
     """Silhouette of each row on squared distances, without comparing rows.
 
     The mean squared distance of x to a cluster is |x|^2 + mean|y|^2 - 2 x.mean(y), so
-    one small table of cluster means is all a row needs. More than ``most`` labels are an
-    error. The plain Euclidean silhouette is another figure: the two are not comparable.
+    one small table of cluster means is all a row needs; a table of more than ``tile_bytes``
+    is compared tile by tile. The plain Euclidean silhouette is another figure, see
+    ``silhouette_euclidean``: the two are not comparable.
     """
     v = df.withColumn("_v", F.col(vector).cast("array<double>"))
     squares = v.groupBy(F.col(label).alias("label")).agg(
         F.count("*").alias("n"), F.avg(_dot(F.col("_v"), F.col("_v"))).alias("sq")
     )
-    table = squares.join(_per_label(centroids(df, label, vector)), "label")
-    rows = table.agg(bounded_list(F.struct("label", "n", "sq", "mean"), most).alias("c"))
+    table = materialize(squares.join(_per_label(centroids(df, label, vector)), "label"), "clusters")
+    if _bytes(table) > tile_bytes:
+        return silhouettes_by_tiles(df, table, label, vector, tile_bytes)
+    rows = table.agg(F.array_sort(F.collect_list(F.struct("label", "n", "sq", "mean"))).alias("c"))
     spread = F.transform(
         "_c",
         lambda c: F.struct(

@@ -60,20 +60,44 @@ def weekly_confidence(df: DataFrame, ts: str = "created_at", confidence: str = "
     return counts.withColumn("share", F.col("n") / total)
 
 
+def _weekly_kinds(df: DataFrame, kind: str, ts: str, baseline_until: str) -> tuple[DataFrame, DataFrame]:
+    """Counts by week and kind from a date on, and the share of each kind before it."""
+    counts = df.groupBy(week_of(ts).alias("week"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+    cut = F.lit(baseline_until).cast("date")
+    base = counts.where(F.col("week") < cut).groupBy("kind").agg(F.sum("n").alias("n"))
+    total = base.agg(F.sum("n").alias("n")).scalar()
+    return counts.where(F.col("week") >= cut), base.select("kind", (F.col("n") / total).alias("base_share"))
+
+
+def mix_drift_seen(df: DataFrame, kind: str, ts: str, baseline_until: str) -> DataFrame:
+    """Weekly share of each kind minus its share before a date, for any number of kinds.
+
+    One row for each kind seen in a week, and one for all kinds of the baseline that it
+    lacks together: ``seen`` is false there, kind null, and delta minus their share. The
+    total variation comes from sums, so weeks and kinds are never paired up.
+    """
+    late, base = _weekly_kinds(df, kind, ts, baseline_until)
+    weeks = late.groupBy("week").agg(F.sum("n").alias("week_n"))
+    seen = late.join(weeks, "week").join(
+        base.withColumnRenamed("kind", "_kind"), F.col("kind").eqNullSafe(F.col("_kind")), "left").drop("_kind")
+    share = F.coalesce("base_share", F.lit(0.0))
+    rows = seen.select("week", "kind", (F.col("n") / F.col("week_n") - share).alias("delta"), share.alias("base_share"))
+    every = base.agg(F.coalesce(F.sum("base_share"), F.lit(0.0)).alias("s")).scalar()
+    sums = rows.groupBy("week").agg(F.sum(F.abs("delta")).alias("moved"), F.sum("base_share").alias("kept"))
+    sums = sums.select("week", (every - F.col("kept")).alias("lost"), ((F.col("moved") + every - F.col("kept")) / 2).alias("total_variation"))
+    lacking = sums.where("lost > 1e-12").select(
+        "week", F.lit(None).cast(late.schema["kind"].dataType).alias("kind"), F.lit(False).alias("seen"), (-F.col("lost")).alias("delta"),
+        "total_variation")
+    return rows.join(sums, "week").select("week", "kind", F.lit(True).alias("seen"), "delta", "total_variation").unionByName(lacking)
+
+
 def mix_drift(df: DataFrame, kind: str, ts: str, baseline_until: str) -> DataFrame:
     """Weekly share of each kind minus its share before a date, and total variation.
 
-    Kinds seen on one side only count with share zero on the other.
+    Kinds seen on one side only count with share zero on the other, and every kind has a row
+    in every week: for few kinds (see ``bounded_list``). ``mix_drift_seen`` is for many.
     """
-    counts = df.groupBy(week_of(ts).alias("week"), F.col(kind).alias("kind")).agg(
-        F.count("*").alias("n")
-    )
-    cut = F.lit(baseline_until).cast("date")
-    base = counts.where(F.col("week") < cut).groupBy("kind").agg(F.sum("n").alias("n"))
-    base = base.select(
-        "kind", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("base_share")
-    )
-    late = counts.where(F.col("week") >= cut)
+    late, base = _weekly_kinds(df, kind, ts, baseline_until)
     weeks = late.groupBy("week").agg(F.sum("n").alias("week_n"))
     # Kinds of the baseline that a week lacks: expected pairs minus those seen.
     kinds = bounded_list(F.col("kind"))  # one row per kind in base; too many are an error
