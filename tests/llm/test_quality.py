@@ -39,6 +39,25 @@ def test_common_lines_go_and_copies_stay(spark):
     assert not out[300].kept
 
 
+def test_blocks_and_lines_between_blank_lines(spark):
+    """A line between blank lines in half of a host's documents goes, and so does a header of three lines."""
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    body = lambda i: " ".join(f"w{letters(i)}x{letters(j)}" for j in range(60))
+    rows = [(i, f"{body(i)}\n\nRead our newsletter\n\n{body(1000 + i)}" if i % 2 else f"{body(i)}\n\n{body(1000 + i)}", "a") for i in range(400)]
+    rows += [(1000 + i, f"Top line\nMenu of all things\nLast of it\n{body(i)}" if i < 200 else body(i), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in quality.assess(df).select("doc.doc_id", "quality.*").collect()}
+    assert all(out[i].lost_words == (3 if i % 2 else 0) and out[i].kept and "newsletter" not in out[i].text for i in range(400))
+    assert all(out[1000 + i].lost_words == (9 if i < 200 else 0) and out[1000 + i].kept for i in range(300))
+
+
+def test_lists_are_broadcast_or_shuffled(spark, docs, monkeypatch):
+    df = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 100))
+    one = sorted(map(str, quality.assess(df, 2, 0.01).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_LINES", -1)
+    assert sorted(map(str, quality.assess(df, 2, 0.01).collect())) == one
+
+
 def test_columns_and_empty(odd, empty):
     assert quality.clean(odd).columns == odd.columns
     assert quality.clean(odd).count() > 0

@@ -2,30 +2,30 @@
 
 Lines are normalised (lower case, runs of digits as one 0, runs of blanks as one,
 trimmed) and hashed. For each host (column ``source``; null is a host of its own) and
-line the documents that hold it are counted, and the different neighbours (line before,
-line after) among which it stands. A line above both limits is boilerplate and is
-removed. Documents that lose more than half of their words are depleted and rejected.
+line the distinct documents that hold it are counted. A line above both limits, a number
+and a share of the host's distinct documents, is boilerplate and is removed. Documents that
+lose more than half of their words are depleted and rejected.
 
-Neighbours are counted beside documents because copies of one document repeat every
-line among the same neighbours: a copied document is no boilerplate, and which copy
-stays is left to the near-duplicate stage.
+Documents of equal text in one host count once, by a hash of the whole text: a copied
+document is no boilerplate, and which copy stays is left to the near-duplicate stage.
 
-Null text counts as empty: no words, ``base_failed``. Equal rows get equal verdicts.
-Documents without lines above the limits keep their text byte for byte.
+Null text counts as empty: no words, ``base_failed``. Equal rows get equal verdicts, ties
+need no rule. Very long texts are one row's arrays. Documents without lines above the limits
+keep their text byte for byte. All columns travel in one struct, so names cannot clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketloom.llm.common import (
-    BROADCAST_ROWS, SPACE, let, pinned, remove, scratch_path, words, written,
-)
+from ticketloom.llm.common import SPACE, let, pinned, scratch_path, words, written
 
-#: Limits: a line is boilerplate in a host from so many documents and neighbours on,
-#: and from this share of the host's documents on.
+#: Limits: a line is boilerplate in a host from so many distinct documents on, and from this
+#: share of the host's distinct documents on.
 LINE_DOCUMENTS = 20
 LINE_SHARE = 0.05
+#: Line hashes of all hosts up to which the lists are broadcast; beyond, the join shuffles by host.
+BROADCAST_LINES = 1_000_000
 
 #: Fixed values of the base rules.
 MIN_WORDS = 50
@@ -45,22 +45,19 @@ def _line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x)))
 
 
+def _copy() -> Column:
+    """What is equal for documents of equal text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
-    """Rows source, line, documents, neighbours over all documents.
+    """Rows source, line, documents: the distinct documents of a host that hold a line.
 
-    A document counts once for each of its different lines. The first count is by
-    neighbours, so that no single key gathers a common line's rows.
+    The first count is by document, so that no single key gathers a common line's rows.
     """
-    base = pinned(docs, "source", h=_line_hashes(_normalised_lines(F.col("text"))))
-    near = F.transform("h", lambda x, i: F.struct(
-        x.alias("line"), i.alias("i"),
-        F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0)), F.coalesce(F.get("h", i + 1), F.lit(0))).alias("near")))
-    first = let(F.sort_array(F.filter(near, lambda x: x["line"].isNotNull())), lambda s: F.filter(
-        s, lambda x, i: (i == 0) | (F.get(s, i - 1)["line"] != x["line"])))
-    rows = base.select("source", F.inline(first)).drop("i")
-    by_near = rows.groupBy("source", "line", "near").agg(F.count(F.lit(1)).alias("n"))
-    return by_near.groupBy("source", "line").agg(
-        F.sum("n").alias("documents"), F.count(F.lit(1)).alias("neighbours"))
+    base = pinned(docs, "source", copy=_copy(), h=F.array_distinct(F.array_compact(_line_hashes(_normalised_lines(F.col("text"))))))
+    rows = base.select("source", "copy", F.explode("h").alias("line"))
+    return rows.distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def boilerplate(docs: DataFrame, min_documents: int = LINE_DOCUMENTS,
@@ -70,10 +67,10 @@ def boilerplate(docs: DataFrame, min_documents: int = LINE_DOCUMENTS,
     With mean m lines a document, a host has at most m / min_share such lines, so the
     list of a host is bounded whatever its size.
     """
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    lines = host_lines(docs).where(F.least("documents", "neighbours") >= min_documents)
+    sizes = docs.select("source", _copy().alias("copy")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    lines = host_lines(docs).where(F.col("documents") >= min_documents)
     over = lines.join(sizes, lines["source"].eqNullSafe(sizes["source"])).where(
-        F.least("documents", "neighbours") >= min_share * F.col("size"))
+        F.col("documents") >= min_share * F.col("size"))
     return over.groupBy(lines["source"]).agg(F.sort_array(F.collect_list("line")).alias("bad"))
 
 
@@ -102,7 +99,7 @@ def assess(docs: DataFrame, min_documents: int = LINE_DOCUMENTS, min_share: floa
     """A struct ``doc`` with all columns of ``docs``, and a struct ``quality``: figures, cleaned text, verdict."""
     spark = docs.sparkSession
     bad = written(boilerplate(docs, min_documents, min_share), scratch_path(spark, "boilerplate"))
-    if bad.limit(BROADCAST_ROWS // 100 + 1).count() <= BROADCAST_ROWS // 100:
+    if bad.agg(F.coalesce(F.sum(F.size("bad") + 4), F.lit(0))).first()[0] <= BROADCAST_LINES:
         bad = F.broadcast(bad)
     packed = docs.select(F.struct("*").alias("doc"), F.col("source").alias("host"))
     held = packed.join(bad, packed["host"].eqNullSafe(bad["source"]), "left").select("doc", "bad")

@@ -21,11 +21,8 @@ w as (select doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d)
 li as (select doc_id, source, unnest(string_split(t, chr(10))) as raw, unnest(range(len(string_split(t, chr(10))))) as i from d),
 ln as (select *, nullif(trim(regexp_replace(regexp_replace(lower(raw), '[0-9]+', '0', 'g'), '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' '), '') as nl,
   len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) as lw from li),
-nb as (select *, lag(nl) over (partition by doc_id order by i) as p, lead(nl) over (partition by doc_id order by i) as q from ln),
-f as (select * from nb where nl is not null qualify row_number() over (partition by doc_id, nl order by i) = 1),
-g as (select source, nl, p, q, count(*) as n from f group by source, nl, p, q),
-h as (select source, nl, least(sum(n), count(*)) as many from g group by source, nl),
-sz as (select source, count(*) as size from d group by source),
+h as (select ln.source, nl, count(distinct t) as many from ln join d using (doc_id) where nl is not null group by ln.source, nl),
+sz as (select source, count(distinct t) as size from d group by source),
 bad as (select h.source, h.nl from h join sz on h.source is not distinct from sz.source
   where many >= {quality.LINE_DOCUMENTS} and many >= {quality.LINE_SHARE} * size),
 lost as (select doc_id, sum(lw) as lost_words from ln join bad on ln.source is not distinct from bad.source and ln.nl = bad.nl group by doc_id),
