@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ticketloom.llm import (
     bin_completion, decontaminate, merkle, near_dedup, packing, periodic_runs, pii, quality, sharding, suffix_dedup, token_files, toxicity, warc)
 from ticketloom.llm.common import table
+from ticketloom.llm.sql import MANIFEST, TRANSACTIONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_warc_transactions": TRANSACTIONS, "op11_butterfly_manifest": MANIFEST}
 
 
 #: SQL for the quality rules: the same counts over lines and words laid out as rows.
