@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ticketloom.llm.common import remove, scratch_path, written
+from ticketloom.llm.common import BROADCAST_ROWS, remove, scratch_path, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,11 +22,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     path = scratch_path(spark, "labels")
     labels = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("id"), F.least("u", "m").alias("label")), path)
+    # Labels keep their number of rows: a small table is held by all tasks, so that a round shuffles once.
+    held = F.broadcast if labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     while True:
-        near = edges.join(labels, edges["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels["id"] == near["u"]).select("id", "label", F.least("label", "m").alias("low"))
+        mine = labels.select(F.col("id").alias("v"), "label")
+        near = edges.join(held(mine), "v").groupBy("u").agg(F.min("label").alias("m"))
+        hooked = near.join(held(labels), near["u"] == labels["id"]).select("id", "label", F.least("label", "m").alias("low"))
         roots = labels.select(F.col("id").alias("root"), F.col("label").alias("far"))
-        jumped = hooked.join(roots, hooked["low"] == roots["root"], "left").select(
+        jumped = hooked.join(held(roots), hooked["low"] == roots["root"], "left").select(
             "id", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label"))
         new_path = scratch_path(spark, "labels")
         new = written(jumped, new_path)

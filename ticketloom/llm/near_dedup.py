@@ -7,19 +7,22 @@ goes to the child of its minwise token under each. Records of similarity s stay
 with probability s at each step; with 1.25 children a node, a pair at 0.8 meets at a
 given leaf level once per tree on average. Nodes of few records are compared
 exhaustively by sketches; larger ones branch again. A node that is still large after the
-last level, or that keeps most of its parent's records, is dense. It is dealt into small
-blocks, and every record of it is compared with the node's pivot: this ties most near
-copies together without all their pairs. What is not tied by confirmed links then is
-compared on the full sets, all pairs: the dense nodes that share records are one family,
-whose blocks are joined pairwise across tasks. ``TREES`` trees find a pair at the
-threshold with probability above 0.998.
+last level, or that keeps most of its parent's records, or a small one most of whose pairs
+are candidates, is dense. It is dealt into small
+blocks, each of which gives a forest of its likeliest links, and every record of it is
+compared with the node's pivot: this ties most near copies together without all their
+pairs. What is not tied by confirmed links then is compared on the full sets, all pairs: the
+dense nodes that share records are one family, whose blocks are joined pairwise across
+tasks. ``TREES`` trees find a pair at the threshold with probability above 0.998.
 
 Candidate pairs are confirmed on the full sets: first the best partner and the likely
 partner of smallest id of each record, then every pair that still joins two components. Pairs inside a component cannot change
 it and are not read.
 
 No text, or text without words: the empty set, linked with nothing. A null doc_id gets a
-null component and is kept. Rows of equal doc_id are one document.
+null component and is kept. Rows of equal doc_id are one document. Ties: the smallest id names
+a class. A very long text is one set in one task. Only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ SMALL_NODE = 192
 #: A node that keeps this share of its parent's records is dense: its records are alike,
 #: and branching would only copy them.
 DENSE = 0.75
+#: A small node with more candidate pairs a record is dense, too.
+DENSE_PAIRS = 4
+#: Stands for the equal bytes of a row that says: this record belongs to that dense node.
+MEMBER = -1
 #: Bytes of a sketch, and equal bytes from which a pair is a candidate at threshold 0.8.
 SKETCH = 64
 SKETCH_MARGIN = 0.22
@@ -182,8 +189,13 @@ def _pair_batch(a, b, e) -> pa.RecordBatch:
                                        pa.array(np.asarray(e, np.int32))], schema=_PAIR_SCHEMA)
 
 
-def _compare(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float):
-    """Candidate pairs of one node: links that are surely similar as a forest, the others all."""
+def _compare(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float, forest: bool):
+    """Candidate pairs of one node: links that are surely similar as a forest, the others all.
+
+    With ``forest``, and where there are more than ``DENSE_PAIRS`` pairs a record, all of them
+    as a forest of the likeliest: one link less than records. In the second case rows
+    (smallest id, id, MEMBER) follow, which make the node a dense one.
+    """
     order = np.lexsort((ids, n))
     ids, n, sketch = ids[order], n[order], sketch[order]
     least, sure = int(SKETCH * (similarity - SKETCH_MARGIN)), int(SKETCH * SURE)
@@ -200,6 +212,9 @@ def _compare(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: flo
     i, j, e = (np.concatenate(x) for x in zip(*found))
     keep = ids[i] != ids[j]
     i, j, e = i[keep], j[keep], e[keep]
+    dense = not forest and len(i) > DENSE_PAIRS * len(ids)
+    if forest or dense:
+        sure = least
     if len(ids) > 4 and (e >= sure).any():
         parent = list(range(len(ids)))
 
@@ -217,16 +232,20 @@ def _compare(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: flo
                 if e[k] >= sure:
                     parent[x] = y
         i, j, e = i[keep], j[keep], e[keep]
+    if dense:
+        chief = np.full(len(ids), ids.min())
+        return np.concatenate((ids[i], chief)), np.concatenate((ids[j], ids)), np.concatenate((e, np.full(len(ids), MEMBER)))
     return ids[i], ids[j], e
 
 
 def _leaves(similarity: float):
-    """Rows sorted by path: nodes may go on from one batch to the next."""
+    """Rows sorted by path: nodes may go on from one batch to the next. Blocks of dense nodes are marked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _and_end(batches):
             if batch is not None:
-                now = [batch.column(i).to_numpy() for i in range(3)] + [_matrix(batch.column(3), np.uint8, SKETCH)]
+                now = [batch.column(i).to_numpy() for i in range(3)] + [_matrix(batch.column(3), np.uint8, SKETCH),
+                                                                          batch.column(4).to_numpy(zero_copy_only=False)]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if held is None or not len(held[0]):
                 continue
@@ -234,7 +253,7 @@ def _leaves(similarity: float):
             if batch is None:
                 cuts = np.append(cuts, len(held[0]))
             out = [x for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1
-                   and (x := _compare(held[1][a:b], held[2][a:b], held[3][a:b], similarity)) is not None]
+                   and (x := _compare(held[1][a:b], held[2][a:b], held[3][a:b], similarity, bool(held[4][a]))) is not None]
             held = [x[cuts[-1]:] for x in held]
             if out:
                 yield _pair_batch(*(np.concatenate(x) for x in zip(*out)))
@@ -266,24 +285,23 @@ def candidates(first: DataFrame, records: DataFrame, similarity: float) -> tuple
     """
     spark = records.sparkSession
     rows = first.select("id", "n", "sig").mapInArrow(_first_nodes, _NODE)
-    pairs, dense_nodes, level = [], [], FIRST_LEVELS
+    leaves, stars, dense_nodes, level = [], [], [], FIRST_LEVELS
     while True:
         draw = F.xxhash64("id", "path")
         nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("pivot")).where("size > 1")
         held = written(rows.join(nodes, "path"), scratch_path(spark, "nodes"))
-        small = held.where(F.col("size") <= SMALL_NODE).select("path", "id", "n", "sketch")
+        leaves.append(held.where(F.col("size") <= SMALL_NODE).select("path", "id", "n", "sketch", F.lit(False).alias("block")))
         dense = (F.col("parent") > 0) & (F.col("size") >= DENSE * F.col("parent")) | F.lit(level == LEVELS)
         large = held.where(F.col("size") > SMALL_NODE)
         last, wide = large.where(dense), large.where(~dense)
         if last.limit(1).count():
             blocks = F.ceil(F.col("size") * 2 / SMALL_NODE)
-            small = small.union(last.select(
-                F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("path"), "id", "n", "sketch"))
+            leaves.append(last.select(F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("path"),
+                                      "id", "n", "sketch", F.lit(True).alias("block")))
             chief = last.where(draw == F.col("pivot")).select("path", F.col("id").alias("chief"), F.col("sketch").alias("mark"))
             star = last.join(chief, "path").where("id <> chief").select("id", "chief", "sketch", "mark")
             dense_nodes.append(star.select("id", "chief"))
-            pairs.append(star.mapInArrow(_pivots(similarity), _PAIR))
-        pairs.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_leaves(similarity), _PAIR))
+            stars.append(star)
         ids = written(wide.select("id").distinct(), scratch_path(spark, "wide"))
         if not ids.limit(1).count():
             break
@@ -291,8 +309,16 @@ def candidates(first: DataFrame, records: DataFrame, similarity: float) -> tuple
         rows = wide.select("tree", "path", "id", "n", "size").join(some, "id").select(
             "tree", "path", "id", "n", "size", "sig").mapInArrow(_next_nodes(level), _NODE)
         level += 1
-    dense = reduce(DataFrame.union, dense_nodes).distinct() if dense_nodes else None
-    return reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("equal").alias("equal")), dense
+    # the leaves of all levels at once; a path belongs to one level
+    pairs = reduce(DataFrame.union, leaves).repartition("path").sortWithinPartitions("path").mapInArrow(_leaves(similarity), _PAIR)
+    if stars:
+        pairs = pairs.union(reduce(DataFrame.union, stars).mapInArrow(_pivots(similarity), _PAIR))
+    found = written(pairs, scratch_path(spark, "found"))
+    member = found.where(F.col("equal") == MEMBER)
+    if member.limit(1).count():
+        dense_nodes.append(member.select(F.col("b").alias("id"), F.col("a").alias("chief")))
+    dense = written(reduce(DataFrame.union, dense_nodes).distinct(), scratch_path(spark, "dense")) if dense_nodes else None
+    return found.where(F.col("equal") != MEMBER).groupBy("a", "b").agg(F.max("equal").alias("equal")), dense
 
 
 def _both(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -366,7 +392,12 @@ def dense_links(dense: DataFrame, own: DataFrame, label: DataFrame, plain: DataF
     of one label is left out. None: nothing is open.
     """
     spark = plain.sparkSession
-    family = components(dense, "id", "chief").select("id", F.col("label").alias("family"))
+    # A record's chiefs hang together: link each with the record's smallest one, then only chiefs.
+    least = dense.groupBy("id").agg(F.min("chief").alias("least"))
+    of = components(dense.join(least, "id").where("chief <> least").select("least", "chief").distinct(), "least", "chief")
+    every = least.union(dense.select("chief", "chief")).groupBy("id").agg(F.min("least").alias("least"))
+    family = every.join(of.select(F.col("id").alias("least"), "label"), "least", "left").select(
+        "id", F.coalesce("label", "least").alias("family"))
     size = own.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "id")
     member = written(family.join(label, "id", "left").join(size, "id").select(
         "id", "family", "n", F.coalesce("label", "id").alias("label")), scratch_path(spark, "members"))
