@@ -21,7 +21,7 @@ HEADLINES = (
     "m11_rule_summary", "f7_explain", "f9_rules_large", "c7_preprocess", "d8_extract_entities",
     "b5_analysis_text", "g1_vocabulary", "g4_tf_idf", "i22_profile_clusters",
     "i22_semantic_profile", "k2_merge_categories", "m12_name_results", "l2_stratified_split",
-    "h6_silhouette", "h11_assign_nearest", "n2_weekly_accuracy", "n6_mix_drift",
+    "h6_silhouette", "h11_assign_nearest", "n2_weekly_accuracy", "n6_mix_drift", "f9_rules_many",
 )
 
 

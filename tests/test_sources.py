@@ -32,6 +32,9 @@ def test_two_spellings_and_missing_columns(spark, tmp_path):
                                    '{"Ticket ID":"T2","Resumen":"s","Causa Ra\u00edz":"y","prioridad":"Alta"}\n', "utf-8")
     a, b = sorted(read_tickets(spark, p, "json").collect())
     assert (a.causa_raiz, b.causa_raiz, b.prioridad) == ("x", "y", "Alta")
+    p = write(tmp_path / "v.json", '{"TICKET ID":"T1"," rEsumen ":null,"RESUMEN":"r","notas":"n"}\n{"x":1}\nno json\n', "utf-8")
+    got = {(r.ticket_id, r.resumen, r.notas) for r in read_tickets(spark, p, "json").collect()}
+    assert got == {("T1", "r", "n"), (None, None, None)}
     p = write(tmp_path / "u.csv", "A;Resumen\n1;2\n")
     with pytest.raises(ValueError, match="ticket_id"):
         read_tickets_csv(spark, p)

@@ -471,7 +471,7 @@ def l12(spark, sf):
     "where fold = 0",
     *(c.replace("n as (select count(*) as n from tickets)", f"n as (select count(*) as n from tickets where {_FOLD} <> 0)")
       .replace("idf from tf group", f"idf from (select * from tf where {_FOLD} <> 0) group") for c in VOCAB_C),
-    _FOLD_CTES[4]))
+    _FOLD_CTES[5]))
 def l13(spark, sf):
     """Vocabularies of 8,000 and 4,000 terms by 25 and 15 clusters, from one feature table."""
     return md.ablate(terms_of(spark, sf)).select(

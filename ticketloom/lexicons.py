@@ -297,3 +297,15 @@ CONTEXT_MODIFIERS = (
 # Analyzer features.
 TECHNICAL_TERMS = ("sistema", "error", "fallo", "proceso", "batch", "datos")
 URGENCY_TERMS = ("urgente", "crítico", "inmediato", "bloqueo")
+
+# Parts of output sentences; values stand between them.
+DESCRIPTION_START = ("Categoría '", "' que agrupa ", " incidencias ")
+DESCRIPTION_CAUSE = (" La causa principal identificada es: '", "', seguida de '", "'.")
+ANALYZER_START = ("Categoría '", "' que engloba ", " incidencias técnicas ")
+ANALYZER_TECHNICAL = "de naturaleza técnica especializada, "
+ANALYZER_URGENT = "que requieren atención prioritaria, "
+ANALYZER_CAUSE = ("principalmente relacionadas con '", "'. ")
+ANALYZER_SECOND_CAUSE = ("Causas secundarias incluyen: ", ". ")
+ANALYZER_TERMS = ("Términos técnicos frecuentes: ", ".")
+RECOMMEND_PRIORITY = ("Priorizar atención a ", " categorías de alta criticidad")
+RECOMMEND_AUTOMATION = ("Implementar automatización en ", " categorías de alto volumen")

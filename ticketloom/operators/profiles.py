@@ -227,18 +227,16 @@ def describe(df: DataFrame, causes: str = "causas", out: str = "descripcion") ->
     for word, text in reversed(lx.NAME_SENTENCES):
         sentence = F.when(name.contains(word), F.lit(text)).otherwise(sentence)
     c = F.coalesce(F.col(causes), F.array().cast("array<string>"))
+    main, second, end = map(F.lit, lx.DESCRIPTION_CAUSE)
     cause = F.when(
         F.size(c) >= 2,
-        F.concat(F.lit(" La causa principal identificada es: '"), F.get(c, F.lit(0)),
-                 F.lit("', seguida de '"), F.get(c, F.lit(1)), F.lit("'.")),
+        F.concat(main, F.get(c, F.lit(0)), second, F.get(c, F.lit(1)), end),
     ).when(
         F.size(c) == 1,
-        F.concat(F.lit(" La causa principal identificada es: '"), F.get(c, F.lit(0)), F.lit("'.")),
+        F.concat(main, F.get(c, F.lit(0)), end),
     ).otherwise("")
-    text = F.concat(
-        F.lit("Categoría '"), name, F.lit("' que agrupa "), F.col("num_incidencias"),
-        F.lit(" incidencias "), sentence, cause,
-    )
+    start, groups, tickets = map(F.lit, lx.DESCRIPTION_START)
+    text = F.concat(start, name, groups, F.col("num_incidencias"), tickets, sentence, cause)
     return df.withColumn(out, text)
 
 
@@ -372,21 +370,21 @@ def semantic_describe(df: DataFrame, out: str = "descripcion") -> DataFrame:
     """Analyzer description from features, causes and words."""
     causes, words = F.col("top_causes"), F.col("top_words")
     tech = F.filter(words, lambda w: F.length(w) > 4)
+    start, groups, tickets = map(F.lit, lx.ANALYZER_START)
+
+    def between(parts: Sequence[str], value: Column) -> Column:
+        return F.concat(F.lit(parts[0]), value, F.lit(parts[1]))
+
+    def only(condition: Column, value: Column) -> Column:
+        return F.when(condition, value).otherwise("")
+
     text = F.concat(
-        F.lit("Categoría '"), F.col("nombre"), F.lit("' que engloba "), F.col("num_incidencias"),
-        F.lit(" incidencias técnicas "),
-        F.when(F.col("has_technical_terms"), "de naturaleza técnica especializada, ").otherwise(""),
-        F.when(F.col("urgency_indicators") > 0, "que requieren atención prioritaria, ").otherwise(""),
-        F.when(F.size(causes) > 0,
-               F.concat(F.lit("principalmente relacionadas con '"), F.get(causes, F.lit(0)), F.lit("'. ")))
-        .otherwise(""),
-        F.when(F.size(causes) > 1,
-               F.concat(F.lit("Causas secundarias incluyen: "), F.get(causes, F.lit(1)), F.lit(". ")))
-        .otherwise(""),
-        F.when(F.size(tech) > 0,
-               F.concat(F.lit("Términos técnicos frecuentes: "),
-                        F.array_join(F.slice(tech, 1, 4), ", "), F.lit(".")))
-        .otherwise(""),
+        start, F.col("nombre"), groups, F.col("num_incidencias"), tickets,
+        only(F.col("has_technical_terms"), F.lit(lx.ANALYZER_TECHNICAL)),
+        only(F.col("urgency_indicators") > 0, F.lit(lx.ANALYZER_URGENT)),
+        only(F.size(causes) > 0, between(lx.ANALYZER_CAUSE, F.get(causes, F.lit(0)))),
+        only(F.size(causes) > 1, between(lx.ANALYZER_SECOND_CAUSE, F.get(causes, F.lit(1)))),
+        only(F.size(tech) > 0, between(lx.ANALYZER_TERMS, F.array_join(F.slice(tech, 1, 4), ", "))),
     )
     return df.withColumn(out, text)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ticketloom import lexicons as lx
 from ticketloom.functions.text import format_percent, join_first
 
 # Size bands of categories and their order.
@@ -120,13 +121,11 @@ def recommendations(cats: DataFrame) -> DataFrame:
     )
     priority = F.when(
         F.col("alta") > 0,
-        F.concat(F.lit("Priorizar atención a "), F.col("alta"),
-                 F.lit(" categorías de alta criticidad")),
+        F.concat(F.lit(lx.RECOMMEND_PRIORITY[0]), F.col("alta"), F.lit(lx.RECOMMEND_PRIORITY[1])),
     )
     automation = F.when(
         F.col("grandes") > 0,
-        F.concat(F.lit("Implementar automatización en "), F.col("grandes"),
-                 F.lit(" categorías de alto volumen")),
+        F.concat(F.lit(lx.RECOMMEND_AUTOMATION[0]), F.col("grandes"), F.lit(lx.RECOMMEND_AUTOMATION[1])),
     )
     every = F.array_compact(
         F.array(priority, automation, *[F.lit(t) for t in GENERAL_RECOMMENDATIONS])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ticketloom.functions.text import literals, squash
 
@@ -83,17 +83,22 @@ def read_tickets(
 ) -> DataFrame:
     """Ticket table in parquet, orc, json or csv, its columns found by name.
 
-    JSON lines may each spell a heading in their own way, as file headings or ours.
+    JSON lines may each spell a heading in their own way, as file headings or ours, in any case.
     """
     if fmt == "csv":
         return read_tickets_csv(spark, path)
     if fmt not in ("parquet", "orc", "json"):
         raise ValueError(f"unknown format {fmt!r}")
     if fmt == "json" and schema is None:
-        fields = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-        lines = spark.read.text(path).select(fields.alias("m"))
+        fields = F.map_entries(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
+        named = F.transform(fields, lambda e: F.struct(F.lower(F.btrim(e["key"])).alias("name"), e["value"].alias("value")))
+        lines = spark.read.text(path).select(named.alias("m"))
+
+        def first(heading: str) -> Column:
+            return F.get(F.filter("m", lambda e: (e["name"] == heading) & e["value"].isNotNull()), 0)["value"]
+
         return lines.select(*(
-            F.coalesce(*(F.col("m")[x] for h in _spellings(f.name) for x in dict.fromkeys((h, h.lower()))))
+            F.coalesce(*(first(h) for h in dict.fromkeys(h.lower() for h in _spellings(f.name))))
             .try_cast(f.dataType).alias(f.name) for f in TICKET_SCHEMA))
     reader = spark.read.format(fmt)
     return named_columns((reader.schema(schema) if schema is not None else reader).load(path))
