@@ -39,3 +39,29 @@ def test_fisher_yates_is_a_permutation_and_mixes(spark):
 def test_buckets_are_bounded(docs):
     n = sharding.shuffled(docs, shards=4, bucket_rows=2).groupBy("shard", "bucket").count().count()
     assert n > 8
+
+
+def plain_shuffle(items, *key):
+    """Fisher-Yates from the last place down, with the same draws, on a list."""
+    a = list(items)
+    for i in range(len(a), 1, -1):
+        j = draw(*key, i) % i
+        a[i - 1], a[j] = a[j], a[i - 1]
+    return a
+
+
+def test_order_is_that_of_a_plain_fisher_yates(spark):
+    global draw
+    n = 23
+    draws = {(k, i): v for k, i, v in spark.range(5).select("id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i")).select(
+        "id", "i", F.xxhash64("id", F.col("i").cast("int"))).collect()}
+    draw = lambda k, i: draws[k, i]
+    got = spark.range(5).select("id", sharding.fisher_yates(F.sequence(F.lit(0), F.lit(n - 1)), F.col("id")).alias("y")).collect()
+    for r in got:
+        assert r.y == plain_shuffle(range(n), r.id)
+
+
+def test_null_ids_do_not_share_a_bucket(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    sizes = sorted(r["count"] for r in sharding.shuffled(df, bucket_rows=100).groupBy("shard", "bucket").count().collect())
+    assert sum(sizes) == 4000 and sizes[-1] <= 2 * max(1, sizes[len(sizes) // 2])

@@ -2,14 +2,15 @@
 
 Pass one scatters every record with seeded hashes: its shard is the one of highest hash
 of (doc_id, shard), so that one more shard takes rows only into itself; inside the shard
-a second hash picks a bucket of bounded size. Pass two shuffles each bucket by
+a second hash, of id and text, picks a bucket of bounded size. Pass two shuffles each bucket by
 Fisher-Yates, with swaps drawn from hashes of (bucket, step), and writes it; slots count
 on from bucket to bucket. Seeds decide everything: a task that is run again gives the
 same order.
 
 Null text has size 1 and checksum 0. A null doc_id is a value of its own; equal rows
-land in one bucket and keep their number. Columns are packed before the work, so names
-cannot clash.
+land in one bucket and keep their number; what ties the order of a bucket is a hash of id and
+text. A very long text is a record like others, in a bucket that counts its bytes. Columns
+are packed before the work, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -59,10 +60,13 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
              bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows doc (all columns), shard, bucket, slot, in shuffled order inside each bucket."""
     size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)
-    total, rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(1, math.ceil(total / bucket_bytes / shards), math.ceil(rows / bucket_rows / shards))
     shard = highest_hash(F.col("doc_id"), shards, seed)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "doc_id"), F.lit(buckets)).cast("int")
+    sums = docs.groupBy(shard.alias("shard")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    total = sum(r["bytes"] for r in sums)
+    # a shard that equal ids fill has more buckets, none larger than others
+    needed = {r["shard"]: max(1, math.ceil(r["bytes"] / bucket_bytes), math.ceil(r["rows"] / bucket_rows)) for r in sums}
+    buckets = F.element_at(F.array(*(F.lit(needed.get(s, 1)) for s in range(shards))), shard + 1)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "doc_id", "text"), buckets).cast("int")
 
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = docs.select(shard.alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(

@@ -26,7 +26,9 @@ string at all) and take no part: their strings all stand in the earlier document
 
 Null text is empty. Texts under 100 bytes lose nothing. Rows that share a doc_id are one
 document: they do not remove each other, and if their texts differ their marks are
-united. A null doc_id comes before all others.
+united. A null doc_id comes before all others. Ties go to the smaller doc_id, then the earlier
+start. Very long texts are hashed and sorted in stretches. Only doc_id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

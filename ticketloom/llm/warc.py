@@ -12,7 +12,9 @@ joined by record identifiers, and revisits by the record they refer to.
 
 Null html is an empty payload; a null url gives no target URI. Line ends in a url are
 percent-encoded. A null page_id is written without an identifier of the page and read
-back as null. Equal rows give equal record identifiers; each keeps its own row.
+back as null. Equal rows give equal record identifiers; each keeps its own row. Of tied
+payloads the largest page_id counts. A very long html is one record. Only page_id, url and
+html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
