@@ -44,6 +44,27 @@ def test_repair_round_trip():
         tf.Block(b"none")
 
 
+def test_repair_goes_on_to_the_end():
+    """Copies of a passage and runs of one id shrink to their grammar; no frequent pair is left."""
+    rng = np.random.default_rng(3)
+    passage = rng.permutation(np.arange(100, 3100)).astype(np.uint16)
+    ids = np.concatenate([np.append(np.concatenate((rng.integers(4000, 60000, 3), passage)), 2) for _ in range(200)]).astype(np.uint16)
+    symbols, rules = tf.repair(ids)
+    assert len(symbols) <= 200 * 6 and 2900 <= len(rules) <= 3100
+    bare = np.tile(np.append(passage, 2), 200).astype(np.uint16)
+    assert len(tf.repair(bare)[0]) < 300
+    for n in (100_000, 99_999, 31, 5):
+        same = np.full(n, 7, np.uint16)
+        b = tf.Block(tf.write_block(same, np.array([n])))
+        assert len(b.symbols) < 100 and (b.ids() == same).all()
+    mixed = np.concatenate([np.repeat(rng.integers(3, 6, 400), rng.integers(1, 9, 400)), rng.integers(3, 30, 5000)]).astype(np.uint16)
+    symbols, _ = tf.repair(mixed)
+    pairs = [(a, b) for a, b in zip(symbols[:-1], symbols[1:]) if a != b]
+    assert max(pairs.count(p) for p in set(pairs)) < tf.MIN_COUNT
+    b = tf.Block(tf.write_block(mixed, np.array([len(mixed)])))
+    assert (b.ids() == mixed).all() and (b.stretch(0, 1234, 4321) == mixed[1234:4321]).all()
+
+
 def test_token_digest(docs, odd, empty, plain):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in docs.collect()), key=lambda x: x[:2])
     got = tf.token_digest(docs).collect()
@@ -93,6 +114,25 @@ def test_packing(docs, odd, empty, plain):
     assert packing.pack_digest(empty).count() == 0
 
 
+def test_groups_of_null_ids_and_parts(spark, plain, monkeypatch):
+    """Rows without an id are dealt by their text; a group of equal rows is packed in parts."""
+    monkeypatch.setattr(packing, "PART_IDS", 3000)
+    texts = [f"text {k} " * 40 for k in range(60)] + ["the same words " * 30] * 90
+    df = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = packing.packed(df, group_bytes=4000).collect()
+    assert sum(r.length for r in rows) == sum(len(plain(t)) for t in texts)
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length, r.window))
+    for parts in seen.values():
+        at = 0
+        for offset, n, window in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= parts[0][2]
+    assert len({r.sequence_id >> 32 for r in rows}) >= 6
+
+
 def test_packer_and_steps():
     import random
 

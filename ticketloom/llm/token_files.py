@@ -1,10 +1,11 @@
 """Token ids in Re-Pair grammar files.
 
-Documents are range-partitioned and sorted by doc_id. Each task encodes blocks of bounded
-size and compresses a block by Re-Pair: count neighbouring pairs, replace the most
-frequent by new symbols, again until no pair pays. Many pairs are replaced in one round,
-chosen so that none of their occurrences can overlap. A pair never reaches over the end
-of a document.
+Documents are range-partitioned into shards and sorted by doc_id. Each task encodes its
+shard (block by block if it is large) and compresses it by Re-Pair: count neighbouring
+pairs, replace the most frequent by new symbols, again until no pair occurs often enough to
+pay for its rule. Many pairs are replaced in one round, chosen so that none of their
+occurrences can overlap; pairs of one symbol are replaced from the start of each run. A
+pair never reaches over the end of a document.
 
 File format, one binary per block (little endian): magic ``RPR1``; uint32 numbers of
 documents, rules and symbols; the rules as uint32 pairs (rule r has the symbol
@@ -15,7 +16,8 @@ stretch of ids by the expansion lengths. Blocks are stored in Parquet rows
 (shard, block, first ids, file), so that Spark commits, places and reads them.
 
 Null text is empty: the end id alone. Rows of equal doc_id keep their number, in no
-fixed order unless their texts are equal. A null doc_id sorts first.
+fixed order unless their texts are equal. A null doc_id sorts first. A very long text is
+encoded whole. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,63 +36,111 @@ from ticketloom.llm.tokens import END_ID, vocabulary_path, worker_encoder
 
 #: Ids from here on are nonterminals.
 VOCABULARY = 1 << 16
-#: Text bytes of a block: what a task compresses at a time, with a grammar of its own.
-BLOCK_BYTES = 8 << 20
-#: Text bytes of a shard, one task's share.
-SHARD_BYTES = 32 << 20
-ROUNDS = 4
-PAIRS_A_ROUND = 512
+#: Mean text bytes of a shard, one task's share with a grammar of its own.
+SHARD_BYTES = 8 << 20
+#: Text bytes from which a shard is cut into blocks: what a task holds at a time. A shard gets
+#: so large only where many rows share a doc_id.
+BLOCK_BYTES = 24 << 20
 #: Occurrences from which a pair pays for its rule.
-MIN_COUNT = 16
+MIN_COUNT = 32
+#: Rows tokenized at a time.
+STEP_ROWS = 256
 MAGIC = b"RPR1"
+#: Hash slots in which pairs are counted.
+SLOT_BITS = 20
 
 
-def _frequent_pairs(s: np.ndarray, end: int, most: int, least: int) -> np.ndarray:
-    """The most frequent neighbouring pairs as codes, none able to overlap another."""
-    code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-    ok = (s[:-1] != end) & (s[:-1] != s[1:])
-    slot = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-    counts = np.bincount(slot[ok].astype(np.int64), minlength=1 << 20)
-    busy = np.argpartition(counts, -4 * most)[-4 * most:] if 4 * most < len(counts) else np.arange(len(counts))
-    mark = np.zeros(1 << 20, bool)
-    mark[busy[counts[busy] >= least]] = True
-    value, n = np.unique(code[ok & mark[slot.astype(np.int64)]], return_counts=True)
+def _odd(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of these places hold a pair of one symbol at an odd distance from the start of its run.
+
+    The places hold all of a run or none of it, so its places follow each other.
+    """
+    same = np.flatnonzero(s[at] == s[at + 1])
+    if len(same):
+        i = np.arange(len(same))
+        begin = np.maximum.accumulate(np.where(np.diff(at[same], prepend=-2) != 1, i, 0))
+        same = same[(i - begin) % 2 == 1]
+    return same
+
+
+class _Pairs:
+    """The pairs at some places, counted in hash slots.
+
+    Each slot stands for one of its codes; codes of other pairs in a slot are ``late``: they
+    are counted apart, and wait for a round in which the slot is theirs.
+    """
+
+    def __init__(self, s: np.ndarray, at: np.ndarray, least: int):
+        at = np.delete(at, _odd(s, at))
+        code = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        busy = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= least
+        self.at, self.code, self.slot = at[busy], code[busy], slot[busy]
+        held = np.zeros(1 << SLOT_BITS, np.uint64)
+        held[self.slot] = self.code
+        mine = held[self.slot] == self.code
+        n = np.bincount(self.slot[mine], minlength=1 << SLOT_BITS)
+        slots = np.flatnonzero(n >= least)
+        self.value, self.n = held[slots], n[slots]
+        late, m = np.unique(self.code[~mine], return_counts=True)
+        self.late = late[m >= least]
+        if not len(slots):
+            self.value, self.n, self.late = self.late, m[m >= least], np.zeros(0, np.uint64)
+
+    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these pairs stand, and which of them each is."""
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = np.arange(len(pairs))
+        k = table[self.slot]
+        hit = np.flatnonzero(k >= 0)
+        hit = hit[pairs[k[hit]] == self.code[hit]]
+        return self.at[hit], k[hit]
+
+
+def _chosen(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which pairs to replace together: the most frequent ones of which no two can overlap."""
+    left, right, out = set(), set(), np.zeros(len(value), bool)
     order = np.lexsort((value, -n))
-    left, right, chosen = set(), set(), []
-    for k in order[:8 * most]:
-        if n[k] < least or len(chosen) == most:
-            break
-        a, b = int(value[k] >> np.uint64(32)), int(value[k] & np.uint64(0xFFFFFFFF))
-        if a in right or b in left:
+    for k, a, b in zip(order.tolist(), (value[order] >> np.uint64(32)).tolist(), (value[order] & np.uint64(0xFFFFFFFF)).tolist()):
+        if a in right or b in left or a == b and (a in left or b in right):
             continue
         left.add(a)
         right.add(b)
-        chosen.append(value[k])
-    return np.array(chosen, np.uint64)
+        out[k] = True
+    return out
 
 
-def repair(ids: np.ndarray, end: int = END_ID, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND,
-           least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (one pair of symbols each) of a block of ids."""
-    s, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(s) < 2:
+def repair(ids: np.ndarray, end: int = END_ID, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (one pair of symbols each) of a block of ids, until no pair occurs ``least`` times.
+
+    After the first round only pairs with a symbol of the last round are counted anew, and
+    pairs that were frequent but overlapped a chosen one.
+    """
+    s, rules, new = ids.astype(np.uint32), [], 0
+    waiting = np.zeros(0, np.uint64)
+    while len(s) > 1:
+        touched = s[:-1] != end
+        if new:
+            fresh = s >= new
+            near = fresh[:-1] | fresh[1:]
+            if len(waiting):
+                first, second = np.zeros(VOCABULARY + len(rules), bool), np.zeros(VOCABULARY + len(rules), bool)
+                first[(waiting >> np.uint64(32)).astype(np.int64)] = True
+                second[(waiting & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+                near |= first[s[:-1]] & second[s[1:]]
+            touched &= near
+        found = _Pairs(s, np.flatnonzero(touched), least)
+        if not len(found.value):
             break
-        pairs = np.sort(_frequent_pairs(s, end, most, least))
-        if not len(pairs):
-            break
-        is_left = np.zeros(VOCABULARY + len(rules), bool)
-        is_left[(pairs >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(is_left[s[:-1]])
-        code = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
-        k = np.searchsorted(pairs, code)
-        hit = pairs[np.minimum(k, len(pairs) - 1)] == code
-        at, k = at[hit], k[hit]
-        s[at] = VOCABULARY + len(rules) + k
+        pick = _chosen(found.value, found.n)
+        pairs, waiting = found.value[pick], np.concatenate((found.value[~pick], found.late))
+        at, k = found.places(pairs)
+        new = VOCABULARY + len(rules)
+        s[at] = new + k
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs]
+        rules += zip((pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist())
     return s, np.array(rules, np.uint32).reshape(-1, 2)
 
 
@@ -177,7 +227,8 @@ def _compressor(path: str | None, block_bytes: int):
         held = 0
 
         def flush() -> pa.RecordBatch:
-            ids, lengths = encoder.encode(texts)
+            parts = [encoder.encode(texts[k:k + STEP_ROWS]) for k in range(0, len(texts), STEP_ROWS)]
+            ids, lengths = (np.concatenate(x) for x in zip(*parts))
             return pa.RecordBatch.from_pydict({
                 "shard": [shard], "block": [block], "docs": [np.array(keys, "<i8").tobytes()],
                 "n_tokens": [len(ids)], "file": [write_block(ids, lengths)]}, schema=_BLOCK_SCHEMA)
