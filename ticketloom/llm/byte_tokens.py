@@ -80,13 +80,15 @@ class ChunkIds(WordIds):
         self.size[base:base + len(new)] = size
         self.joins[base:base + len(new)] = joins
         self.used += len(flat)
+        self.added += self.new
         self.new = []
 
     def _forget(self, base: int) -> None:
         if len(self) > self.limit:
-            for w in list(self)[base:]:
+            for w in self.added:
                 del self[w]
             self.used = int((self.first[:base] + self.size[:base]).max()) if base else 0
+        self.added = []
 
     def encode(self, texts: list[bytes | None], end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all UTF-8 texts behind each other (uint16), and the number of ids of each."""

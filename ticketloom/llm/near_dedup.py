@@ -63,7 +63,7 @@ LIKELY = 0.84
 FAMILY_BLOCK = 512
 FAMILY_BYTES = 16_000_000
 SEED = 11
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -10,10 +10,13 @@ becomes full windows of falling powers of two and one last padded sequence.
 
 Windows are dealt over training steps so that every step gets its share of every tier.
 
-Documents are dealt into groups of bounded size by hash; a group is packed in one task
-with bounded memory, and costs at most one padded sequence.
+Documents are dealt into groups of bounded size by a hash of id and text; a group is packed
+in one task with bounded memory, and costs at most one padded sequence. A group that grows
+too large because many rows are equal is packed part by part.
 
-Null text is empty and still has its end id. Equal rows are packed each on their own.
+Null text is empty and still has its end id. Equal rows, and rows of equal or null doc_id,
+are packed each on their own. Very long texts are cut like others. Only doc_id and text are
+read, so other names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ from ticketloom.llm.tokens import vocabulary_path, worker_encoder
 TIERS = (4096, 2048, 1024, 512)
 #: Mean text bytes of a group.
 GROUP_BYTES = 8 << 20
+#: Ids from which a group is packed in parts, and rows tokenized at a time.
+PART_IDS = 12 << 20
+STEP_ROWS = 256
 #: Tokens of a training step.
 STEP_TOKENS = 64 * 4096
 #: The remainder of a group is cut to powers of two down to this one.
@@ -133,7 +139,7 @@ def _packer(vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary or vocabulary_path())
 
-        def flush(group, keys, parts, lengths):
+        def flush(group, first, keys, parts, lengths):
             ids = np.concatenate(parts).astype("<u4")
             n = np.concatenate(lengths)
             edge = np.cumsum(n) - n
@@ -145,31 +151,35 @@ def _packer(vocabulary: str | None):
                 for doc, start, length in pieces:
                     a = edge[doc] + start
                     rows.append((keys[doc], start, length, ids[a:a + length].tobytes(), int(n[doc]),
-                                 (group << 32) | s, at, window, (group << 32) | step[s]))
+                                 (group << 32) | (first + s), at, window, (group << 32) | (first + step[s])))
                     at += length
                 if len(rows) >= _BATCH:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
+            return first + len(windows)
 
-        group, keys, parts, lengths = None, [], [], []
+        group, keys, parts, lengths, first, held = None, [], [], [], 0, 0
         for batch in batches:
             groups = batch.column(0).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b == a:
                     continue
-                if group is not None and groups[a] != group:
-                    yield from flush(group, keys, parts, lengths)
-                    keys, parts, lengths = [], [], []
+                if group is not None and (groups[a] != group or held >= PART_IDS):
+                    first = yield from flush(group, first, keys, parts, lengths)
+                    first = first if groups[a] == group else 0
+                    keys, parts, lengths, held = [], [], [], 0
                 group = int(groups[a])
                 keys += batch.column(1).slice(a, b - a).to_pylist()
-                ids, n = encoder.encode(batch.column(2).slice(a, b - a).to_pylist())
-                parts.append(ids)
-                lengths.append(n)
+                for c in range(a, b, STEP_ROWS):
+                    ids, n = encoder.encode(batch.column(2).slice(c, min(STEP_ROWS, b - c)).to_pylist())
+                    parts.append(ids)
+                    lengths.append(n)
+                    held += len(ids)
         if keys:
-            yield from flush(group, keys, parts, lengths)
+            yield from flush(group, first, keys, parts, lengths)
 
     return run
 
@@ -183,10 +193,11 @@ def packed(docs: DataFrame, vocabulary: str | None = None, group_bytes: int = GR
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / group_bytes))
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(groups)).cast("int").alias("group"),
+        F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(groups)).cast("int").alias("group"),
         F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return dealt.repartition(max(1, math.ceil(groups / 2)), "group").sortWithinPartitions("group", "doc_id", "text").mapInArrow(
-        _packer(vocabulary), PIECES)
+    # two groups to a task, none by chance
+    return dealt.repartitionById(max(1, math.ceil(groups / 2)), F.expr("group div 2").cast("int")).sortWithinPartitions(
+        "group", "doc_id", "text").mapInArrow(_packer(vocabulary), PIECES)
 
 
 def pack_digest(docs: DataFrame) -> DataFrame:

@@ -9,12 +9,18 @@ tokenizer whole.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker keeps at most (about 150 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: Words encoded behind each other at a time.
+RUN = 128
+#: Words that any normal form and case leave as they are, without a cut inside.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -32,9 +38,12 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.new = limit, []
+        self.limit, self.new, self.added = limit, [], []
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -44,6 +53,34 @@ class WordIds(dict):
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encoded(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stems behind each other, and the number of ids of each.
+
+        A word of plain letters is one unit of the tokenizer, whose last id says that a word
+        ends, so such words are encoded many at a time and cut there; others one by one.
+        """
+        size, order, flat = np.zeros(len(stems), np.int64), [], [np.zeros(0, np.uint16)]
+        texts = [s.decode("utf-8", "surrogatepass") for s in stems]
+        plain = np.fromiter((_PLAIN(t) is not None for t in texts), bool, len(texts))
+        at = np.flatnonzero(plain)
+        if len(at):
+            run = [texts[k] for k in at.tolist()]
+            some = [" ".join(run[k:k + RUN]) for k in range(0, len(run), RUN)]
+            ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+            size[at] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            flat.append(ids)
+            order.append(at)
+        at = np.flatnonzero(~plain)
+        if len(at):
+            ids = self._ids([texts[k] for k in at.tolist()])
+            size[at] = [len(i) for i in ids]
+            flat.append(np.array([i for x in ids for i in x], np.uint16))
+            order.append(at)
+        flat, order = np.concatenate(flat), np.concatenate(order)
+        first = np.zeros(len(stems), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return flat[_spread(first, size)], size
+
     def _learn(self) -> None:
         """Encode the new words. The tokenizer ignores case; a full stop or comma behind an ASCII
         letter is a token of its own."""
@@ -53,30 +90,38 @@ class WordIds(dict):
         stems = [s.lower() if s.isascii() else s for s in stems]
         ask = {s: None for s in stems if s not in self or self[s] >= base}
         ask.update({b".": None, b",": None})
-        found = dict(zip(ask, self._ids([s.decode("utf-8", "surrogatepass") for s in ask])))
-        parts = []
-        for w, s, e in zip(new, stems, ended):
-            ids = found.get(s)
-            if ids is None:
-                k = self[s]
-                ids = self.flat[self.first[k]:self.first[k] + self.size[k]].tolist()
-            parts.append(ids + found[w[-1:]] if e else ids)
-        sizes = np.fromiter(map(len, parts), np.int32, len(parts))
-        flat = np.fromiter((i for p in parts for i in p), np.uint16, int(sizes.sum()))
-        self.flat = _room(self.flat, self.used + len(flat))
-        self.flat[self.used:self.used + len(flat)] = flat
+        flat, size = self._encoded(list(ask))
+        # places of the stems: of this round behind all that is known, of earlier rounds where they are
+        known = {s: k for k, s in enumerate(ask)}
+        end = self.used + np.cumsum(size)
+        mine = np.fromiter((known.get(s, -1) for s in stems), np.int64, len(stems))
+        old = np.fromiter((self[s] if k < 0 else 0 for s, k in zip(stems, mine.tolist())), np.int64, len(stems))
+        first = np.where(mine >= 0, (end - size)[mine], self.first[old])
+        n = np.where(mine >= 0, size[mine], self.size[old])
+        both = np.concatenate((self.flat[:self.used], flat))
+        tail = np.fromiter((known[w[-1:]] if e else -1 for w, e in zip(new, ended)), np.int64, len(new))
+        more = np.where(tail >= 0, size[tail], 0)
+        total = n + more
+        at = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint16)
+        out[_spread(at, n)] = both[_spread(first, n)]
+        out[_spread(at + n, more)] = both[_spread((end - size)[tail], more)]
+        self.flat = _room(self.flat, self.used + len(out))
+        self.flat[self.used:self.used + len(out)] = out
         self.first, self.size = _room(self.first, base + len(new)), _room(self.size, base + len(new))
-        self.first[base:base + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[base:base + len(new)] = sizes
-        self.used += len(flat)
+        self.first[base:base + len(new)] = self.used + at
+        self.size[base:base + len(new)] = total
+        self.used += len(out)
+        self.added += self.new
         self.new = []
 
     def _forget(self, base: int) -> None:
+        """Drop the words of this call if there are too many; ``base`` were known before it."""
         if len(self) > self.limit:
-            keep = max(base, 0)
-            for w in list(self)[keep:]:
+            for w in self.added:
                 del self[w]
-            self.used = int(self.first[keep - 1] + self.size[keep - 1]) if keep else 0
+            self.used = int((self.first[base - 1] + self.size[base - 1])) if base else 0
+        self.added = []
 
     def encode(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other (uint16), and the number of ids of each."""
@@ -114,6 +159,13 @@ class WordIds(dict):
         return np.concatenate(parts) if parts else flat, lengths
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ... of every stretch, behind each other."""
+    size = size.astype(np.int64)
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a
