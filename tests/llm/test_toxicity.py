@@ -62,3 +62,35 @@ def test_long_texts_are_scored_in_pieces():
     text = " ".join(f"w{i}" for i in range(70_000))
     whole = net.score(net.batch([tx.word_buckets(text)])[0])[0]
     assert abs(tx.score_text(text, net.tables()) - whole) < 1e-5
+
+
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    # more than 2,000 of a label: each toxic word stands in one part of the documents only
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ta", "ri", "on", "es", "ma"]) for _ in range(rng.randint(2, 5)))
+    docs = [(i, " ".join([word() for _ in range(8)] + [BAD[i % 3]] * (i % 2)), "en") for i in range(6_000)]
+    labels = [(i, i % 2) for i in range(6_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(tx, "GROUP_DOCS", 1_000)
+    begun = []
+    fitted = tx._fitted
+
+    def spied(dealt, *rest):
+        begun.append((dealt.count(), dealt.select("group").distinct().count()))
+        return fitted(dealt, *rest)
+
+    monkeypatch.setattr(tx, "_fitted", spied)
+    rows = tx.scored(d, lab).collect()
+    learned = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i).encode()) % 16 != 1]
+    assert len(learned) > 4_000 and len(begun) >= tx.EPOCHS and set(begun) == {(len(learned), -(-len(learned) // 1_000))}
+    held = [r for r in rows if r.held_out]
+    ranked = sorted(held, key=lambda r: -r.score)[:sum(r.doc_id % 2 for r in held)]
+    assert sum(r.doc_id % 2 for r in ranked) >= 0.95 * len(ranked)
+
+
+def test_thresholds_come_from_all_rows(spark):
+    rows = [("en", 1, 0.9)] * 30 + [("en", 0, 0.5)] * 20 + [("en", 1, 0.4)] * 2 + [("de", 1, 0.3)] * 9 + [("de", 0, 0.1)] * 9 + [(None, 1, 0.2)] * 12
+    by, common = tx._thresholds(spark.createDataFrame(rows, "lang string, toxic int, score double"))
+    assert {k: round(v, 4) for k, v in by.items()} == {"en": 0.7, None: 0.1} and round(common, 4) == 0.15
+    assert tx._thresholds(spark.createDataFrame([("en", 1, 0.9)], "lang string, toxic int, score double")) == ({}, tx.THRESHOLD)
