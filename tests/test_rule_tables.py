@@ -81,3 +81,18 @@ def test_a_category_with_two_routes_keeps_one_row(spark):
     done = spark.createDataFrame([("T1", "A", "Alta", 0.8)], "ticket_id string, predicted_type string, nivel_criticidad string, confidence double")
     routes = spark.createDataFrame([("A", "g2"), ("A", "g1")], "category string, grupo string")
     assert [r.suggested_group for r in ru.triage(done, routes).collect()] == ["g1"]
+
+
+def test_readings_do_not_grow_with_the_words(spark, monkeypatch):
+    """Phrases of one word take one reading, whatever their bytes; only the others are searched part by part."""
+    from ticketloom.operators import rule_search as rs
+
+    searched = []
+    body = rs._searched
+    monkeypatch.setattr(rs, "_searched", lambda df, part, *rest: searched.append(len(part)) or body(df, part, *rest))
+    rules = [(f"c{i % 3}", i % 3, f"palabra{i}", 0) for i in range(400)] + [("d", 9, "dos palabras", 0), ("d", 9, "x-1", 0)]
+    df = spark.createDataFrame([("T1", "palabra1 palabra4 palabra2"), ("T2", "apalabra1, dos palabras x-1"), ("T3", None)],
+                               "ticket_id string, processed_text string")
+    done = ru.classify_with_rules(df, spark.createDataFrame(rules, SCHEMA), limit=0, match="word", rule_bytes=2000)
+    assert sorted(tuple(r)[:3] for r in done.collect()) == [("T1", "c1", 2), ("T2", "d", 2)]
+    assert searched == [2]

@@ -3,12 +3,15 @@
 Tasks hold the phrases as one search tree (Aho-Corasick) and read every text once, whatever
 the number of phrases; a text never leaves its row, and nothing is exploded or joined. A
 tree is bounded: a table with more than ``RULE_BYTES`` of phrases is searched part by part,
-each part in a reading of its own, and only hits, without texts, meet by ticket.
+each part in a reading of its own, and only hits, without texts, meet by ticket. Of such a
+table, phrases of one word that are sought as whole words meet the words of the texts in a
+join instead: one reading, however many they are.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -93,9 +96,25 @@ def _searched(df: DataFrame, part: list[Row], match: str, schema: str, body: Cal
     return df.mapInArrow(run, schema)
 
 
-def _parts(rules: DataFrame, rule_bytes: int) -> Iterator[list[Row]]:
+#: Phrases of one word, for Python's ``\w`` as well (``_word``).
+ONE_WORD = r"^[\p{L}\p{Nd}_]+$"
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(row, keyword): the different words of each text (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                some = [(r, w) for r, t in zip(*(c.slice(a, 64).to_pylist() for c in batch.columns)) for w in set(re.findall(r"\w+", t or ""))]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int64()), pa.array([w for _, w in some], pa.string())],
+                                                 names=["row", "keyword"])
+
+    return texts.mapInArrow(run, "row long, keyword string")
+
+
+def _parts(fields: DataFrame, rule_bytes: int) -> Iterator[list[Row]]:
     """The prepared rules in bounded parts; a phrase's rules stay together."""
-    fields = rules.select("category", "category_order", "keyword", "keyword_order")
     total = fields.agg(F.coalesce(F.sum(F.octet_length("keyword") + 48), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / rule_bytes))
     for i in range(n):
@@ -107,6 +126,7 @@ def best_rules(df: DataFrame, key: str, text: str, rules: DataFrame, match: str
     """Winning category of each row with a hit: key, predicted_type, score, rule_matched."""
     kind = df.schema[key].dataType.simpleString()
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rules = materialize(rules.select("category", "category_order", "keyword", "keyword_order"), "rules")
     parts = _parts(rules, rule_bytes)
     first, second = next(parts), next(parts, None)
     if second is None:
@@ -128,8 +148,15 @@ def best_rules(df: DataFrame, key: str, text: str, rules: DataFrame, match: str
 
     # rows are numbered in a written table: a repeated task finds the same numbers
     numbered = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "rule-texts")
-    hits = None
-    for part in (first, second, *parts):
+    hits, left = None, (first, second)
+    if match == "word":
+        one = F.col("keyword").rlike(ONE_WORD)
+        hits = materialize(_words(numbered.select("row", "text")).join(rules.where(one), "keyword").select(
+            "row", "category", "category_order", "keyword", "keyword_order"), "rule-hits")
+        left, parts = (), _parts(rules.where(~one), rule_bytes)
+    for part in (*left, *parts):
+        if not part:
+            continue
         some = materialize(_searched(numbered.select("row", "text"), part, match, HITS, every), "rule-hits")
         hits = some if hits is None else hits.unionByName(some)
     ranked = F.array_sort(F.collect_list(F.struct("keyword_order", "keyword")), lambda a, b: F.when(
