@@ -1,9 +1,10 @@
 """Feature queries over rows of their own."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ticketloom.checks.registry import QUERIES
-from ticketloom.operators import features as ft
+from ticketloom.operators import features as ft, term_counts as tc
 from ticketloom.checks import model_queries as mq
 
 
@@ -27,3 +28,30 @@ def test_norms_read_entries_only(spark, folder):
     assert "vector_to_array" not in done._jdf.queryExecution().analyzed().toString()
     assert ".features" not in done._jdf.queryExecution().analyzed().toString()
     assert "UDF(features" not in done._jdf.queryExecution().analyzed().toString()
+
+
+def test_pairs_are_counted_only_where_their_words_are_frequent(spark, monkeypatch):
+    """The pruned counts give the vocabulary of all terms, with ties, repeats, empty and null rows."""
+    texts = ["a1 b1 a1 b1 c1", "b1 a1 b1 d1", "", None, "x%d y%d a1 b1", "c1 c1 c1 b1", "rare words here a1"] * 6
+    rows = [(i, t.replace("%d", str(i)) if t else t) for i, t in enumerate(texts)]
+    t = ft.with_terms(spark.createDataFrame(rows, "i int, text string"), "text").withColumn("fold", F.col("i") % 3)
+    nulled = t.withColumn("terms", F.when(F.col("i") != 9, F.col("terms")))
+    sizes = {f: 14 for f in range(3)}
+
+    def kept(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    for most, min_df, max_df in ((5, 2, 0.9), (9, 1, 1.0), (500, 2, 0.5), (500, 100, 0.5)):
+        for frequent in (tc.FREQUENT, 3):
+            monkeypatch.setattr(tc, "FREQUENT", frequent)
+            monkeypatch.setattr(tc, "PIECE", 20)
+            limits = "terms", most, min_df, max_df
+            assert kept(ft.fit_vocabulary(nulled, *limits, pairs=True)) == kept(ft.fit_vocabulary(nulled, *limits))
+            folds = ft.fold_stats(nulled, "fold", "terms", sizes, *limits[1:])
+            assert kept(ft.fold_vocabularies(folds, sizes, *limits[1:])) == kept(
+                ft.fold_vocabularies(ft.fold_stats(nulled, "fold"), sizes, *limits[1:]))
+    # words that no frequent pair is made of leave no pair behind
+    monkeypatch.setattr(tc, "FREQUENT", 1 << 18)
+    stats = ft.fold_stats(t, "fold", "terms", sizes, 5, 2, 0.9)
+    assert stats.where("term like '% %'").select("term").distinct().count() < t.select(
+        F.explode("terms").alias("term")).where("term like '% %'").distinct().count()
