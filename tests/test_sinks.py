@@ -42,3 +42,20 @@ def test_keys_are_unique(spark):
     df = spark.createDataFrame(rows, "cluster int, clave string").withColumn("k", sinks._unique_key())
     keys = {r.cluster: r.k for r in df.collect()}
     assert len(set(keys.values())) == 6 and keys[1] == "b" and keys[7] == "a_7"
+
+
+def test_categories_are_computed_once_for_all_statistics(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, f"n{i}", 10 * i + 5, "Alta" if i == 2 else "Baja") for i in range(3)]
+    df = spark.createDataFrame(rows, "cluster int, nombre string, num_incidencias long, nivel_criticidad string")
+    cats = df.withColumn("num_incidencias", counted("num_incidencias"))
+    (out,) = sinks.statistics_document(cats).collect()
+    assert seen.value == 3
+    assert out.estadisticas_clustering.categoria_mas_grande == 25 and out.resumen_ejecutivo.categorias_alta_criticidad == 1
+    assert out.distribuciones.por_criticidad == {"Alta": 1, "Baja": 2}
