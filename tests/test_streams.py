@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ticketloom.operators import monitor as mo
+from ticketloom.sources.tickets import TICKET_SCHEMA
 from ticketloom.streaming import tickets as st
 
 SCHEMA = "ticket_id string, created_at timestamp, label int, prediction int"
@@ -69,3 +70,13 @@ def test_drift_of_many_kinds(spark):
     assert two.where("not seen").count() == 2
     total = {r.week: r.s for r in two.groupBy("week").agg(F.sum("delta").alias("s")).collect()}
     assert all(abs(x) < 1e-9 for x in total.values())
+
+
+def test_one_file_is_classified_by_several_tasks(spark, tmp_path):
+    inbox, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    tickets = [(f"t{i}", f"Error de factura {i}", "nota", "PETICION", None, None, "Alta", None) for i in range(400)]
+    spark.createDataFrame(tickets + tickets[:1], TICKET_SCHEMA).coalesce(1).write.parquet(inbox)
+    st.classify_stream(st.ticket_stream(spark, inbox, files_per_batch=1), out, mark).awaitTermination()
+    back = spark.read.parquet(out)
+    assert sorted(r.ticket_id for r in back.collect()) == sorted([t[0] for t in tickets] + ["t0"])
+    assert back.select(F.input_file_name()).distinct().count() == spark.sparkContext.defaultParallelism

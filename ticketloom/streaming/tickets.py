@@ -29,9 +29,11 @@ def classify_stream(
 
     ``trigger`` is Spark's, such as ``{"processingTime": "1 minute"}``; by default everything
     available is classified. Classification keeps no state, so a batch is as large as its files.
+    Its tickets are dealt over the cores, however few files it has.
     """
+    cores = tickets.sparkSession.sparkContext.defaultParallelism
     return (
-        classify(tickets, model)
+        classify(tickets.repartition(cores), model)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
