@@ -140,11 +140,14 @@ def h1(spark, sf):
     flat = centres.select("c", F.posexplode("v").alias("i", "y")).where("y <> 0")
     x = F.unwrap_udt("features")
     entries = pred.select(K, F.inline(F.arrays_zip(x["indices"].alias("i"), x["values"].alias("x"))))
-    dots = entries.join(flat, "i").groupBy(K, "c").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    norms = flat.groupBy("c").agg(F.sum(F.col("y") * F.col("y")).alias("yy"))
-    far = dots.join(norms, "c").withColumn("d", F.col("yy") - 2 * F.col("xy"))
+    # a column for each centre: an entry meets them all in one row
+    each = range(len(model.clusterCenters()))
+    wide = flat.groupBy("i").agg(*(F.sum(F.when(F.col("c") == c, F.col("y"))).alias(f"y{c}") for c in each))
+    dots = entries.join(F.broadcast(wide), "i").groupBy(K).agg(*(F.sum(F.col("x") * F.col(f"y{c}")).alias(f"xy{c}") for c in each))
+    norms = [float((c * c).sum()) for c in model.clusterCenters()]
+    far = dots.select(K, F.array(*(norms[c] - 2 * F.col(f"xy{c}") for c in each)).alias("d"))
     least = pred.select(K, "prediction").join(far, K).groupBy(K).agg(
-        F.min("d").alias("least"), F.min(F.when(F.col("c") == F.col("prediction"), F.col("d"))).alias("own"))
+        F.min(F.array_min("d")).alias("least"), F.min(F.get("d", F.col("prediction"))).alias("own"))
     return pred.select(K, "prediction").join(least, K, "left").select(
         K, F.lit(k).cast("long").alias("k"), total.alias("total"), F.col("prediction").between(0, k - 1).alias("in_range"),
         F.coalesce(F.col("own") <= F.col("least") + 1e-9, F.lit(True)).alias("nearest"))
